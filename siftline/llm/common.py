@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Text bytes that one call of a batch function gets at most (a single longer text comes alone).
 BATCH_BYTES = 8_000_000
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +69,9 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is unset (tests on one machine) a local folder is set first.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="siftline-"))
     return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
 
