@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,7 +34,7 @@ def slices(batch: pa.RecordBatch, text_index: int | None) -> Iterator[pa.RecordB
         yield batch
         return
     start, size = 0, 0
-    for i, s in enumerate(pa.compute.binary_length(batch.column(text_index)).to_pylist()):
+    for i, s in enumerate(pc.binary_length(batch.column(text_index)).to_pylist()):
         if i > start and size + (s or 0) > BATCH_BYTES:
             yield batch.slice(start, i - start)
             start, size = i, 0
