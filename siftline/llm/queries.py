@@ -6,18 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import byte_bpe, mpeg_audio, token_counts
+from siftline.llm import byte_bpe, byte_cnn, link_graph, mpeg_audio, token_counts
 from siftline.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = byte_cnn.train(docs.where(~byte_cnn.held_out(docs["doc_id"])))
+    out = byte_cnn.predict(docs, model)
+    return out.select("doc_id", byte_cnn.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.roundtrip_digest(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -27,9 +36,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_graph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_link_graph": link_graph.oracle(URL_RULES)}
