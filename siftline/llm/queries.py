@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import byte_bpe, byte_cnn, link_graph, mpeg_audio, token_counts
+from siftline.llm import bk_tree, byte_bpe, byte_cnn, link_graph, mpeg_audio, token_counts
 from siftline.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", byte_cnn.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk_tree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.roundtrip_digest(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
