@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bk_tree, byte_bpe, byte_cnn, link_graph, mpeg_audio, token_counts
+from siftline.llm import bk_tree, byte_bpe, byte_cnn, containment, link_graph, mpeg_audio, surrogates, token_counts
 from siftline.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+PASSPHRASE = "siftline"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -31,6 +32,11 @@ def op4_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bk_tree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.anonymize(docs, surrogates.key_from(PASSPHRASE), marks=True)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.roundtrip_digest(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -45,9 +51,13 @@ def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_link_graph": link_graph.oracle(URL_RULES)}
+    return {"op9_link_graph": link_graph.oracle(URL_RULES), "op10_containment": containment.oracle()}
