@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bk_tree, byte_bpe, byte_cnn, containment, license_scan, link_graph, mpeg_audio, surrogates, token_counts
+from siftline.llm import bk_tree, byte_bpe, byte_cnn, containment, license_scan, link_graph, mpeg_audio, suffix_dedup, surrogates, token_counts
 from siftline.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ PASSPHRASE = "siftline"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(table(spark, sf_dir, "documents"))
 
