@@ -205,3 +205,131 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, text: str
     """(key, fingerprint, component_id) of every document."""
     out = link(fingerprints(docs, width, text, key), radius)
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- groups of near copies by shingle similarity, for the pipeline ----
+
+#: Minima that deal texts to shards (by pairs of them), bytes of minima that prune, the radius
+#: and pruning share that a similarity of 0.8 stays clear of by more than three deviations.
+MINIMA, SKETCH, WIDE_RADIUS, PRUNE = 5, 64, 20, 0.62
+#: Members of a candidate component that one task compares; larger ones are compared in blocks.
+BLOCK = 8192
+
+_SEEDS = np.random.default_rng(11)
+_MULT = _SEEDS.integers(1, 1 << 63, MINIMA + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _SEEDS.integers(0, 1 << 63, MINIMA + SKETCH, dtype=np.uint64)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each of the hash functions over a text's shingles."""
+    out = np.full(MINIMA + SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        out = np.minimum(out, (hashes[at : at + 4096, None] * _MULT + _PLUS).min(0))
+    return out
+
+
+def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """(key, words, fp, lows, sketch): a hash of the words, the fingerprint, and minima of the shingles."""
+
+    def make():
+        def f(key, text):
+            out: dict[str, list] = {"key": key, "words": [], "fp": [], "lows": [], "sketch": []}
+            for t in text:
+                w = words_of(t)
+                h = shingle_hashes(w, width)
+                m = minima(h)
+                out["words"].append(xxhash.xxh3_128_digest(b" ".join(w)))
+                out["fp"].append(simhash(h))
+                out["lows"].append(m[:MINIMA].view(np.int64))
+                out["sketch"].append((m[MINIMA:] >> np.uint64(32)).astype(np.uint8).tobytes())
+            return out
+
+        return f
+
+    rows = narrow(docs, key=docs[key].cast("bigint"), text=text)
+    return map_batches(rows, make, "key bigint, words binary, fp bigint, lows array<bigint>, sketch binary")
+
+
+def similar_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) from (part, id, fp, sketch, hashes): links verified on whole shingle sets, inside each part."""
+
+    def solve(ids, fp, sketches, sets) -> tuple[list[int], list[int]]:
+        sk = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+        forest, labels = Forest(fp, np.zeros(len(fp), np.int64)), Labels(len(fp))
+        own = [np.frombuffer(s, np.uint64) for s in sets]
+        for a, b in forest.links(WIDE_RADIUS):
+            keep = np.concatenate([(sk[a[i : i + 65536]] == sk[b[i : i + 65536]]).mean(1) >= PRUNE for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            for x, y in zip(a[keep].tolist(), b[keep].tolist()):
+                if labels.of[x] != labels.of[y] and (len(own[x]) + len(own[y])):
+                    n = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if n >= similarity * (len(own[x]) + len(own[y]) - n) - 1e-9:
+                        labels.join(np.array([x]), np.array([y]))
+        moved = np.flatnonzero(labels.of != np.arange(len(fp)))
+        return [ids[i] for i in moved], [ids[labels.of[i]] for i in moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != part:
+                    if len(rows) > 1:
+                        yield out(rows)
+                    part, rows = row[0], []
+                if not rows or rows[-1][1] != row[1]:  # repeated rows of one id
+                    rows.append(row)
+        if len(rows) > 1:
+            yield out(rows)
+
+    def out(rows) -> pa.RecordBatch:
+        a, b = solve([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], [r[4] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = members.select("part", "id", "fp", "sketch", "hashes").repartition("part").sortWithinPartitions("part", "id")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, group): texts linked by a Jaccard similarity of their shingle sets, group = smallest key.
+
+    Texts of the same words are one candidate. Candidates are dealt to shards by pairs of
+    ``MINIMA`` min-hash values (two texts of similarity 0.8 share none with probability
+    0.007, of 0.9 with 0.0005), linked there by BK-trees of wide radius and pruned by
+    sketches; whole shingle sets then verify every link. Components of candidates of more
+    than BLOCK members are verified in pairs of blocks, so a task's memory is bounded.
+    Rows with a null key are left out.
+    """
+    sig = materialize(signatures(docs, width, text, key).where("key is not null"))
+    reps = sig.groupBy("words").agg(F.min(F.struct("key", "fp", "lows", "sketch")).alias("r"))
+    reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.fp", "r.lows", "r.sketch"))
+    pairs = [F.xxhash64(F.lit(i), F.lit(j), F.col("lows")[i], F.col("lows")[j]) for i, j in combinations(range(MINIMA), 2)]
+    shards = reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "fp", "sketch")
+    near = components(spanning_links(shards, WIDE_RADIUS, SKETCH, PRUNE))
+    near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
+    size = near.groupBy("component").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # a member of block p meets every block q in the part of the ordered pair
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cut = near.join(size, "component").select("node", "component", blocks.alias("blocks")).withColumn("p", place).withColumn("q", other)
+    cut = cut.select(F.col("node").alias("id"), F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")).alias("part"))
+    asked = cut.join(reps.select("id", "fp", "sketch"), "id")
+
+    def make():
+        def f(part, id, fp, sketch, text):
+            sets = [np.unique(shingle_hashes(words_of(t), width)).tobytes() for t in text]
+            return {"part": part, "id": id, "fp": fp, "sketch": sketch, "hashes": sets}
+
+        return f
+
+    texts = narrow(docs, id=docs[key].cast("bigint"), text=text)
+    members = asked.join(texts, "id").select("part", "id", "fp", "sketch", "text")
+    members = map_batches(members, make, "part bigint, id bigint, fp bigint, sketch binary, hashes binary")
+    groups = components(similar_links(members, similarity))
+    named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("component", "id").alias("group"))
+    return sig.select("key", "words").join(named, "words").select("key", "group")
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents without those whose group has a smaller key; rows with a null key stay."""
+    out = near_groups(docs, width, similarity, text, key).where("group < key").select(F.col("key").alias(key)).distinct()
+    return docs.join(materialize(out), key, "left_anti").select(docs.columns)

@@ -25,8 +25,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siftline.llm.common import map_batches, narrow
+from siftline.llm.common import map_batches, narrow, slices
 
 #: Distinct pieces kept, and the longest piece kept, so the memo has a bound.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
@@ -180,20 +181,26 @@ def roundtrip_digest(docs: DataFrame, path: str, pattern: str, text: str = "text
     return map_batches(rows, make, schema).withColumnRenamed("key", key)
 
 
-def lossless(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The input with ``text`` replaced by what its ids decode to; rows and columns stay.
+def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The input with ``text`` replaced by what its ids decode to, and ``ids array<int>``, ``n_tokens``.
 
-    A null text stays null. Any text that Spark holds decodes to itself.
+    A null text stays null and has no ids. Any text that Spark holds decodes to itself.
+    Columns of the input with the new names are replaced.
     """
-    names = docs.columns
-    schema = docs.schema
+    names = [n for n in docs.columns if n not in ("ids", "n_tokens")]
+    kept = docs.select(names)
+    schema = kept.withColumns({"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")}).schema
 
     def run(batches):
         bpe = ByteBPE(path, pattern)
-        for batch in batches:
-            texts = batch.column(names.index(text)).to_pylist()
-            back = [None if t is None else bpe.decode(bpe.encode(t)).decode("utf-8") for t in texts]
-            columns = [pa.array(back, type=batch.schema.field(i).type) if n == text else batch.column(i) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole, names.index(text)):
+                texts = batch.column(names.index(text)).to_pylist()
+                raw = [b"" if t is None else bpe.encode(t) for t in texts]
+                back = [None if t is None else bpe.decode(r).decode("utf-8") for t, r in zip(texts, raw)]
+                sizes = np.array([len(r) // 4 for r in raw], np.int64)
+                ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.frombuffer(b"".join(raw), "<i4"))
+                columns = [pa.array(back, type=batch.schema.field(i).type) if n == text else batch.column(i) for i, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(sizes)], names=[*names, "ids", "n_tokens"])
+
+    return kept.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ import io
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,18 +208,10 @@ def predict(docs: DataFrame, model: bytes | None, text: str = "text", key: str |
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the size of the weights, some hundred KB
 
     def make():
-        net = ByteCNN.load(shared.value) if shared.value else None
-        run = net.fused() if net else None
+        classify = classifier(ByteCNN.load(shared.value) if shared.value else None)
 
         def f(key, text, **own):
-            langs, scores = ["und"] * len(text), [0.0] * len(text)
-            asked = [i for i, t in enumerate(text) if net and lettered(t)]
-            sums = np.zeros((len(text), len(net.langs) if net else 0))
-            for part, owner, weight in blocks([(i, text[i].encode()) for i in asked]):
-                np.add.at(sums, owner, run(part) * weight[:, None])
-            for i in asked:
-                p = sums[i] / sums[i].sum()
-                langs[i], scores[i] = net.langs[int(p.argmax())], float(p.max())
+            langs, scores = classify(text)
             return {"key": key, "lang_pred": langs, "score": scores} | own
 
         return f
@@ -229,6 +222,24 @@ def predict(docs: DataFrame, model: bytes | None, text: str = "text", key: str |
     return out.select(F.col("key").alias(key), "lang_pred", "score", *(F.col(f"own_{c}").alias(c) for c in keep))
 
 
+def classifier(net: ByteCNN | None) -> Callable[[list[str | None]], tuple[list[str], list[float]]]:
+    """Languages and scores of a batch of whole texts."""
+    run = net.fused() if net else None
+
+    def classify(text: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores = ["und"] * len(text), [0.0] * len(text)
+        asked = [i for i, t in enumerate(text) if net and lettered(t)]
+        sums = np.zeros((len(text), len(net.langs) if net else 0))
+        for part, owner, weight in blocks([(i, text[i].encode()) for i in asked]):
+            np.add.at(sums, owner, run(part) * weight[:, None])
+        for i in asked:
+            p = sums[i] / sums[i].sum()
+            langs[i], scores[i] = net.langs[int(p.argmax())], float(p.max())
+        return langs, scores
+
+    return classify
+
+
 def blocks(texts: list[tuple[int, bytes]]):
     """Windows of many texts in blocks of CHUNK, with the text and the bytes of each."""
     xs, owners, weights, n = [], [], [], 0
@@ -254,3 +265,18 @@ def cut(xs, owners, weights):
 def held_out(key: Column) -> Column:
     """The rows that no training sees: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def keep_known(docs: DataFrame, model: bytes | None, min_score: float = 0.3, langs: frozenset[str] | None = None, text: str = "text") -> DataFrame:
+    """The documents whose predicted language is known (of ``langs``, if given) and scored; rows and columns stay as they are."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        net = ByteCNN.load(shared.value) if shared.value else None
+        classify = classifier(net)
+        for batch in batches:
+            found, scores = classify(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([y != "und" and s >= min_score and (langs is None or y in langs) for y, s in zip(found, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
