@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold ``QUERIES`` and ``ORACLES``.
-MODULES: list[str] = []
+MODULES: list[str] = ["corpus"]
 
 
 def _merged(attribute: str) -> dict:
