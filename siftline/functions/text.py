@@ -189,12 +189,12 @@ def touched_files(patch: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split at Japanese sentence ends, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, "[。！？]+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text, "[。！？]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def paragraphs(text: Column) -> Column:
     """Split at blank lines, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def all_match(items: Column, pattern: str) -> Column:

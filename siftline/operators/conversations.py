@@ -80,5 +80,5 @@ def tool_calls(text: Column) -> Column:
     """(name, args) of each tool_call block; blocks without a function are skipped."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1)
     found = F.filter(blocks, lambda b: b.rlike(r"<function=[^>\s]+>"))
-    pairs = lambda b: F.arrays_zip(F.regexp_extract_all(b, F.lit(r"(?s)<parameter=([^>\s]+)>(.*?)</parameter>"), 1).alias("k"), F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<parameter=([^>\s]+)>(.*?)</parameter>"), 2), F.trim).alias("v"))
+    pairs = lambda b: F.arrays_zip(F.regexp_extract_all(b, F.lit(r"(?s)<parameter=([^>\s]+)>(.*?)</parameter>"), 1).alias("k"), F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<parameter=([^>\s]+)>(.*?)</parameter>"), 2), lambda s: F.trim(s)).alias("v"))
     return F.transform(found, lambda b: F.struct(F.regexp_extract(b, r"<function=([^>\s]+)>", 1).alias("name"), F.map_from_entries(F.transform(pairs(b), lambda p: F.struct(p.k, p.v))).alias("args")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold ``QUERIES`` and ``ORACLES``.
-MODULES: list[str] = ["corpus", "evaluation", "texts", "choosing", "dialogue"]
+MODULES: list[str] = ["corpus", "evaluation", "texts", "choosing", "dialogue", "building"]
 
 
 def _merged(attribute: str) -> dict:
