@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 SUFFIXES = (".jsonl", ".parquet")
 FRESH_SECONDS = 300
@@ -68,10 +69,22 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
+@F.pandas_udf(BooleanType())
+def _one_document(s: pd.Series) -> pd.Series:
+    def test(text: str) -> bool:
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    return s.map(test)
+
+
 def json_array_or_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A whole-file array (or object), else one object a line."""
     whole = spark.read.text(path, wholetext=True)
-    is_doc = whole.select(F.bool_and(F.try_parse_json("value").isNotNull()).alias("ok")).first()[0]
+    is_doc = whole.select(F.bool_and(_one_document("value")).alias("ok")).first()[0]
     if not is_doc:
         return jsonl(spark, path, schema)
     v = F.col("value")
