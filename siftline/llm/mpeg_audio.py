@@ -171,20 +171,18 @@ def parse(data: bytes | None) -> dict:
     last = sync + size[code] == end
     step, good, ends = after.tolist(), (linked | last).tolist(), (sync + size[code]).tolist()
     chain, resyncs, skipped, at, i, n = [], 0, 0, start, 0, len(sync)
-    places = sync.tolist()
+    places, kinds = sync.tolist(), kind.tolist()
     while i < n:
-        if places[i] != at:  # a gap: go on at the next header that is followed by one of its kind
-            while i < n and not good[i]:
+        own = not chain or kinds[i] == kinds[chain[-1]]
+        if places[i] != at or not (own or good[i]):  # a gap: go on at the next header of its kind that another follows
+            while i < n and not (good[i] and (not chain or kinds[i] == kinds[chain[-1]])):
                 i += 1
             if i == n:
                 break
             resyncs, skipped = resyncs + 1, skipped + places[i] - at
         chain.append(i)
         at = ends[i]
-        if linked[i]:
-            i = step[i]
-        else:
-            i = int(np.searchsorted(sync, at))
+        i = step[i] if linked[i] else int(np.searchsorted(sync, at))
     skipped += max(0, end - at)
     frames = np.array(chain, np.int64)
     off, code = sync[frames], code[frames]
