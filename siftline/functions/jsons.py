@@ -218,7 +218,7 @@ def decimal_of(text: str) -> Decimal | None:
         return None
 
 
-NUMBER = re.compile(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?(?![\w])")
+NUMBER = re.compile(r"(?<![\w.-])-?\d[\d,]*(?:\.\d+)?(?![\w])")
 QUOTED = re.compile(r"\"([^\"]*)\"|'([^']*)'|「([^」]*)」")
 
 

@@ -118,3 +118,45 @@ ORACLES = {
 }
 ROWS_ONLY = ("edit_reward", "sequence_similarity", "pack_blocks")
 QUERIES = {name: globals()[name] for name in (*ORACLES, *ROWS_ONLY)}
+
+
+# ---- traces ----
+
+DAMAGE = ("none", "failure", "short", "plan", "cardinality", "executor")
+
+
+def _damaged(number: int) -> tuple[str, str, str | None]:
+    """(seed id, pattern, rejection) of a record whose damage is told by its number."""
+    from siftline.functions import traces as R
+
+    seed = R.seed_of(number)
+    record, kind = R.gold_record(seed), DAMAGE[number // 5 % len(DAMAGE)]
+    if kind == "failure":
+        record["failures"] = ["json_parse"]
+    elif kind == "short":
+        record["selected"] = record["selected"][:-1]
+    elif kind == "plan":
+        record["selected"][0] = [*record["selected"][0], record["selected"][0][0]]
+    elif kind == "cardinality":
+        record["results"][0] = record["results"][0][:-1]
+    elif kind == "executor":
+        record["results"][0][0] = record["results"][0][0] | {"call": "other"}
+    return seed["seed_id"], seed["pattern"], R.rejection(record)
+
+
+def trace_acceptance(spark, sf):
+    """Records of as many seeds as documents, by pattern and first rejection."""
+    import pandas as pd
+
+    def run(parts):
+        for p in parts:
+            yield pd.DataFrame([_damaged(int(i)) for i in p["id"]], columns=["seed_id", "pattern", "reason"])
+
+    n = table(spark, sf, "documents").count()
+    rows = spark.range(n).mapInPandas(run, "seed_id string, pattern string, reason string")
+    return rows.groupBy("pattern", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+ORACLES["trace_acceptance"] = """SELECT ['single', 'parallel', 'multi_turn', 'error_recovery', 'long_chain'][i % 5 + 1] AS pattern,
+['accepted', 'json_parse', 'incomplete_dialogue', 'plan_alignment', 'executor_cardinality', 'executor_inconsistent'][i // 5 % 6 + 1] AS reason, count(*) AS n FROM range(0, (SELECT count(*) FROM documents)) t(i) GROUP BY ALL"""
+QUERIES["trace_acceptance"] = trace_acceptance

@@ -1,0 +1,72 @@
+"""Seeds, traces, renames and small parsers."""
+
+import pytest
+
+from siftline.functions import traces as R
+
+
+@pytest.mark.parametrize("pattern", R.PATTERNS)
+def test_gold_records_are_accepted_and_damage_is_named(pattern):
+    for number in range(40):
+        seed = R.seed_of(number, pattern)
+        record = R.gold_record(seed)
+        assert R.rejection(record) is None and R.gate(seed, seed["user_request"]) == []
+        assert [m["role"] for m in R.training_messages(record)][:3] == ["user", "assistant", "tool"]
+        assert R.rejection(record | {"failures": ["json_parse"]}) == "json_parse"
+        assert R.rejection(record | {"selected": record["selected"][:-1]}) == "incomplete_dialogue"
+        assert R.rejection(record, eval_names=frozenset({seed["tools"][0]["name"]})) == "contamination_function_name"
+        assert R.rejection(record, has_gram=lambda t: True) == "contamination_8gram"
+        assert R.rejection(record | {"selected": [[*s, s[0]] for s in record["selected"]]}) == "plan_alignment"
+        assert R.rejection(record | {"results": [[*s, s[0]] for s in record["results"]]}) == "executor_cardinality"
+        broken = R.gold_record(seed)
+        broken["results"][0][0]["call"] = "other"
+        assert R.rejection(broken) == "executor_inconsistent"
+
+
+def test_derived_links():
+    seed = R.seed_of(4, "long_chain")
+    assert [x["source"] for x in seed["derived_values"]] == ["stage0.call0.result.receipt", "stage1.call0.result.receipt", "stage2.call0.error.code"]
+    record = R.gold_record(seed)
+    assert R.links_hold(record)
+    record["selected"][1][0]["arguments"]["receipt_1"] = "mock-0"
+    assert not R.links_hold(record)
+    assert R.receipt_sources(seed)[seed["expected_stages"][1][0]["arguments"]["receipt_1"]] == (0, 0)
+
+
+def test_renames_go_back():
+    for number in range(300):
+        seed = R.seed_of(number)
+        mock, inverse = R.renamed_seed(seed)
+        assert R.rejection(R.gold_record(mock)) is None and mock["tools"][0]["name"] != seed["tools"][0]["name"]
+        assert R.restored_seed(mock, inverse) == seed
+    with pytest.raises(KeyError):
+        R.restored_seed(mock, {})
+
+
+def test_gates_catch_requests():
+    seed = R.seed_of(0, "single")
+    assert R.gate(seed, "") == ["request"]
+    assert "typed_values" in R.gate(seed, "nothing of it")
+    assert "schema_leak" in R.gate(seed, seed["user_request"] + seed["tools"][0]["name"])
+    assert "invention" in R.gate(seed, seed["user_request"] + ' and "made up" 987654')
+
+
+def test_small_parsers():
+    call = "<tool_call><function=f><parameter=a>1</parameter><parameter=b>x y</parameter></function></tool_call>"
+    assert R.python_calls(call) == "f(a=1, b='x y')" and R.python_calls(call * 2).startswith("[f(")
+    with pytest.raises(ValueError):
+        R.python_calls("none")
+    assert R.natural_request('```json\n{"natural_request": "hi"}\n```') == "hi" == R.natural_request('so: {"natural_request": "hi"} ok')
+    assert R.natural_request("no") is None
+    assert R.replace_names("ab abc ab_c", {"ab": "x", "abc": "y"}) == "x y ab_c"
+    assert R.containing("get_time_alt", ["get_time", "other"]) == "get_time"
+    assert R.function_names({"name": "a", "x": [{"function_name": "b"}]}) == {"a", "b"}
+    assert R.declared_tools('<T>[{"name": "a"}]</T>', "<T>", "</T>") == [{"name": "a"}] and R.declared_tools("x", "<T>", "") is None
+    assert R.tier_mix("T1:0,T2:0.45,T3:0.3,T4:0.25")["T2"] == 0.45
+    assert R.arm_spec("a=p:q:8:0.5") == ("a", "p:q", 8, 0.5)
+    for bad in ("T1:1", "T1:0.5,T2:0.5,T3:0.5,T4:0"):
+        with pytest.raises(ValueError):
+            R.tier_mix(bad)
+    c = {"name": "f", "arguments": {}}
+    assert R.item_score("pos", [c], [c], {"f"}) == {"format_valid": True, "name_match": True, "arg_match": True} and R.item_score("neg", [], [c], set()) == {"over_trigger": True}
+    assert R.structure([R.tool_of(1, 0)])["arity"]
