@@ -74,7 +74,8 @@ def entropy(p: Column) -> Column:
 
 def expert_scores(df: DataFrame, layer: str) -> DataFrame:
     """(layer, expert, gate, token): mean renormalised weight and mean 1/k of routed tokens."""
-    rows = df.select(layer, F.col("mass"), F.size("top").alias("k"), F.explode("top").alias("t"))
+    # outer: a plain explode infers a filter on the list, which would compute it once more, unfolded, at the scan
+    rows = df.select(layer, F.col("mass"), F.size("top").alias("k"), F.explode_outer("top").alias("t"))
     n = df.groupBy(layer).agg(F.count("*").alias("tokens"))
     s = rows.groupBy(layer, F.col("t.expert").alias("expert")).agg(F.sum(F.col("t.value") / F.col("mass")).alias("g"), F.sum(1 / F.col("k")).alias("u"))
     return s.join(n, layer).select(layer, "expert", (F.col("g") / F.col("tokens")).alias("gate"), (F.col("u") / F.col("tokens")).alias("token"))

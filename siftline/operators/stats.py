@@ -91,14 +91,15 @@ def consistency(rows: DataFrame, by: list[str], reward: str, tokens: str, finish
 def advantages(rows: DataFrame, group: str, reward: str, normalise: str = "std", eps: float = 1e-6) -> DataFrame:
     """Reward less the group's mean, over its population deviation ("std") or not ("mean").
 
-    Groups of zero deviation give zeros. The group statistics are aggregated first and
+    Groups of zero deviation give zeros. Rounding leans up by 1e-10, so that sums in
+    another order don't part at a half. The group statistics are aggregated first and
     joined back, so a hot group is never one window.
     """
     g = rows.groupBy(group).agg(F.avg(reward).alias("m"), F.stddev_pop(reward).alias("sd"))
     out = rows.join(g, group)
     d = F.col(reward) - F.col("m")
     adv = F.when(F.col("sd") == 0, 0.0).otherwise(d / (F.col("sd") + eps) if normalise == "std" else d)
-    return out.withColumns({"advantage": F.round(adv, 6), "skipped": F.col("sd") == 0}).drop("m", "sd")
+    return out.withColumns({"advantage": F.round(adv + 1e-10, 6), "skipped": F.col("sd") == 0}).drop("m", "sd")
 
 
 def agreement(rows: DataFrame, key: str, passed: Column) -> DataFrame:

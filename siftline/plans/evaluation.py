@@ -198,7 +198,7 @@ round(avg((finish = 'length')::INT), 6) AS trunc_frac FROM r GROUP BY {by}"""
 
 
 def _adv(expr: str) -> str:
-    return f"WITH {ROLL}, g AS (SELECT user_id, avg(reward) AS m, stddev_pop(reward) AS sd FROM r GROUP BY user_id) SELECT event_id, r.user_id, reward, round(CASE WHEN sd = 0 THEN 0 ELSE {expr} END, 6) AS advantage, sd = 0 AS skipped FROM r JOIN g USING (user_id)"
+    return f"WITH {ROLL}, g AS (SELECT user_id, avg(reward) AS m, stddev_pop(reward) AS sd FROM r GROUP BY user_id) SELECT event_id, r.user_id, reward, round(CASE WHEN sd = 0 THEN 0 ELSE {expr} END + 1e-10, 6) AS advantage, sd = 0 AS skipped FROM r JOIN g USING (user_id)"
 
 
 def _soft(tau: float = 1.0) -> str:
