@@ -48,11 +48,14 @@ def normalize_tokens(text: Column) -> Column:
     return F.when(other, _tokens_udf(F.when(other, text))).otherwise(plain)
 
 
-def runs_of(tokens: Column, n: int, short_whole: bool = False) -> Column:
-    """P5: n-grams joined by a space; fewer tokens give none, or one short gram."""
+def runs_of(tokens: Column, n: int, short_whole: bool = False, sep: str = " ") -> Column:
+    """P5: n-grams joined by a separator; fewer tokens give none, or one short gram.
+
+    ``tokens`` must be a column that exists: a lambda computes an expression for each gram anew.
+    """
     size = F.size(tokens)
-    every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    less = F.array(F.array_join(tokens, " ")) if short_whole else F.array().cast("array<string>")
+    every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), sep))
+    less = F.array(F.array_join(tokens, sep)) if short_whole else F.array().cast("array<string>")
     return F.when(size >= n, every).when(size > 0, less).otherwise(F.array().cast("array<string>"))
 
 
@@ -73,11 +76,10 @@ def letters_only(text: Column) -> Column:
     return F.when(other, _letters_udf(F.when(other, text))).otherwise(plain)
 
 
-def char_grams(text: Column, n: int, short_whole: bool = False) -> Column:
-    """All substrings of n characters; a shorter text gives none, or itself."""
-    size = F.length(text)
-    every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(text, i, n))
-    return F.when(size >= n, every).otherwise(F.array(text) if short_whole else F.array().cast("array<string>"))
+def chars(text: Column) -> Column:
+    """The characters of a text, to be cut by :func:`runs_of`; a substring from the
+    start for each gram would cost the square of a long text."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
 
 
 def collapsed(text: Column) -> Column:

@@ -1,4 +1,9 @@
-"""N-gram decontamination (P4-P9, F1-F5, J1, W3): index, boilerplate rule, hits, longest run."""
+"""N-gram decontamination (P4-P9, F1-F5, J1, W3): index, boilerplate rule, hits, longest run.
+
+Grams are exploded with ``explode_outer``: a plain explode infers a filter on the array,
+which is pushed below the tokens' projection and computes them anew for each gram.
+Nulls fall out at the equi-joins that follow.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ N, MAX_DF, MIN_HITS, MIN_RUN = 8, 2, 2, 6
 def grams_of(df: DataFrame, key: str, text: str, n: int = N, tokens=T.normalize_tokens) -> DataFrame:
     """(key, gram): distinct n-grams of each row; rows with fewer tokens have none."""
     rows = df.select(F.col(key), tokens(F.col(text)).alias("t"))
-    return rows.select(key, F.explode(F.array_distinct(T.runs_of(F.col("t"), n))).alias("gram"))
+    return rows.select(key, F.explode_outer(F.array_distinct(T.runs_of(F.col("t"), n))).alias("gram")).where("gram is not null")
 
 
 def eval_index(sets: dict[str, DataFrame], max_df: int = MAX_DF, n: int = N, text: str = "text") -> DataFrame:
@@ -61,7 +66,7 @@ def longest_run(df: DataFrame, index: DataFrame, key: str, text: str = "text", n
     Gaps and islands over matched positions only; unmatched ones never leave the scan.
     """
     rows = df.select(key, T.normalize_tokens(F.col(text)).alias("t"))
-    met = rows.select(key, F.posexplode(T.runs_of(F.col("t"), n)).alias("pos", "gram")).join(small(index.select("gram")), "gram")
+    met = rows.select(key, F.posexplode_outer(T.runs_of(F.col("t"), n)).alias("pos", "gram")).join(small(index.select("gram")), "gram")
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     runs = met.withColumn("island", island).groupBy(key, "island").agg(F.count("*").alias("run"), F.min("pos").alias("start"), F.min_by("gram", "pos").alias("gram"))
     best = runs.groupBy(key).agg(F.max(F.struct("run", (-F.col("start")).alias("s"), "gram")).alias("b"))
@@ -73,23 +78,24 @@ def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, form: Callable
 
     ``form`` prepares a text, ``grams`` cuts what it gives.
     """
-    index = protected.select(form(F.col(text)).alias("t")).select(F.explode(grams(F.col("t"))).alias("gram")).distinct()
-    met = df.select(key, form(F.col(text)).alias("t")).select(key, F.explode(F.array_distinct(grams(F.col("t")))).alias("gram"))
+    index = protected.select(form(F.col(text)).alias("t")).select(F.explode_outer(grams(F.col("t"))).alias("gram")).distinct()
+    met = df.select(key, form(F.col(text)).alias("t")).select(key, F.explode_outer(F.array_distinct(grams(F.col("t")))).alias("gram"))
     return met.join(small(index), "gram", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
-def near_pairs(df: DataFrame, key: str, grams: Column, threshold: float) -> DataFrame:
-    """(a, b, jaccard) with a < b: an exact set-similarity self-join by prefix and length filters.
+def near_pairs(df: DataFrame, key: str, tokens: Column, n: int, threshold: float, sep: str = "") -> DataFrame:
+    """(a, b, jaccard) with a < b: an exact set-similarity self-join of n-grams by prefix and length filters.
 
     Grams are ordered rarest first over all rows; two sets of Jaccard t share one of their
     first n - ceil(t * n) + 1 grams, so only rows that share a rare prefix gram meet.
     """
-    rows = df.select(F.col(key).alias("id"), F.array_distinct(grams).alias("g")).where(F.size("g") > 0)
-    flat = rows.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    rows = df.select(F.col(key).alias("id"), tokens.alias("t"))
+    rows = rows.select("id", F.array_distinct(T.runs_of(F.col("t"), n, short_whole=True, sep=sep)).alias("g"))
+    flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = flat.join(df_of, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
     prefix = F.slice("o", 1, (F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).cast("int"))
-    heads = ranked.select("id", "n", F.explode(prefix).alias("p")).select("id", "n", "p.gram")
+    heads = ranked.select("id", "n", F.explode_outer(prefix).alias("p")).select("id", "n", "p.gram")
     a, b = heads.alias("a"), heads.alias("b")
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold))
     pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -63,13 +63,13 @@ def decontam_ascii8(spark, sf):
 def char8_overlap(spark, sf):
     """Character 8-grams of the letters alone, one hit suffices."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return D.first_gram_hit(docs, items, "doc_id", T.letters_only, lambda t: T.char_grams(t, 8))
+    return D.first_gram_hit(docs, items, "doc_id", lambda c: T.chars(T.letters_only(c)), lambda t: T.runs_of(t, 8, sep=""))
 
 
 def char3_neardup(spark, sf):
     """Pairs of user turns of character 3-gram Jaccard of 0.92 or more."""
     turns = table(spark, sf, "conversations").where("role = 'user' and text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return D.near_pairs(turns, "id", T.char_grams(T.collapsed(F.col("text")), 3, short_whole=True), 0.92)
+    return D.near_pairs(turns, "id", T.chars(T.collapsed(F.col("text"))), 3, 0.92)
 
 
 def normalized_tokens(spark, sf):
