@@ -83,14 +83,19 @@ def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, form: Callable
     return met.join(small(index), "gram", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
-def near_pairs(df: DataFrame, key: str, tokens: Column, n: int, threshold: float, sep: str = "") -> DataFrame:
-    """(a, b, jaccard) with a < b: an exact set-similarity self-join of n-grams by prefix and length filters.
+def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) with a < b: an exact set-similarity self-join of character n-grams.
 
-    Grams are ordered rarest first over all rows; two sets of Jaccard t share one of their
-    first n - ceil(t * n) + 1 grams, so only rows that share a rare prefix gram meet.
+    Texts of one form are one class: its smallest key stands for it in the join, and every
+    other member is paired with that key alone, so copies never meet each other. Grams are
+    ordered rarest first over all classes; two sets of Jaccard t share one of their first
+    m - ceil(t * m) + 1 grams, so only classes that share a rare prefix gram meet.
     """
-    rows = df.select(F.col(key).alias("id"), tokens.alias("t"))
-    rows = rows.select("id", F.array_distinct(T.runs_of(F.col("t"), n, short_whole=True, sep=sep)).alias("g"))
+    own = df.select(F.col(key).alias("id"), form.alias("form"))
+    classes = own.groupBy("form").agg(F.min("id").alias("rep"))
+    members = own.join(classes, "form").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    rows = classes.select(F.col("rep").alias("id"), T.chars(F.col("form")).alias("t"))
+    rows = rows.select("id", F.array_distinct(T.runs_of(F.col("t"), n, short_whole=True, sep="")).alias("g"))
     flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = flat.join(df_of, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
@@ -102,4 +107,5 @@ def near_pairs(df: DataFrame, key: str, tokens: Column, n: int, threshold: float
     full = pairs.join(rows.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(rows.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     jaccard = shared / (F.size("ga") + F.size("gb") - shared)
-    return full.select("a", "b", F.round(jaccard, 6).alias("jaccard"), jaccard.alias("j")).where(F.col("j") >= threshold).drop("j")
+    near = full.select("a", "b", F.round(jaccard, 6).alias("jaccard"), jaccard.alias("j")).where(F.col("j") >= threshold).drop("j")
+    return near.unionByName(members)

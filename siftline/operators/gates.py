@@ -31,7 +31,7 @@ def quota_gates(rows: DataFrame, key: str, text: str, style: str, least: int = 1
     gates = F.array_compact(F.array(*(F.when(F.col(f"over_{n}"), F.lit(f"batch_{n}")) for n in LIMITS)))
     d = d.select("k", "t", gates.alias("gates"))
     alive = d.where(F.size("gates") == 0)
-    near = near_pairs(alive, "k", T.chars(T.collapsed(F.col("t"))), 3, NEAR).select(F.col("b").alias("k")).distinct().withColumn("near", F.lit(True))
+    near = near_pairs(alive, "k", T.collapsed(F.col("t")), 3, NEAR).select(F.col("b").alias("k")).distinct().withColumn("near", F.lit(True))
     out = d.join(near, "k", "left")
     every = F.when(F.col("near"), F.array_append("gates", F.lit("near_copy"))).otherwise(F.col("gates"))
     return out.select(F.col("k").alias(key), F.array_join(every, ",").alias("gates"))

@@ -67,9 +67,9 @@ def char8_overlap(spark, sf):
 
 
 def char3_neardup(spark, sf):
-    """Pairs of user turns of character 3-gram Jaccard of 0.92 or more."""
+    """User turns of character 3-gram Jaccard of 0.92 or more; copies pair with the first alone."""
     turns = table(spark, sf, "conversations").where("role = 'user' and text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return D.near_pairs(turns, "id", T.chars(T.collapsed(F.col("text"))), 3, 0.92)
+    return D.near_pairs(turns, "id", T.collapsed(F.col("text")), 3, 0.92)
 
 
 def normalized_tokens(spark, sf):
@@ -171,10 +171,10 @@ d AS ({_grams("documents", "doc_id", 8, "regexp_extract_all(replace(lower(text),
     "char8_overlap": f"""WITH b AS (SELECT DISTINCT substr(s, i, 8) AS gram FROM (SELECT s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT {LETTERS} AS s FROM benchmark))),
 d AS (SELECT DISTINCT doc_id, substr(s, i, 8) AS gram FROM (SELECT doc_id, s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT doc_id, {LETTERS} AS s FROM documents)))
 SELECT doc_id, count(*) AS n_shared FROM d JOIN b USING (gram) GROUP BY doc_id""",
-    "char3_neardup": f"""WITH s AS (SELECT conv_id || ':' || turn AS id, {C3} AS s FROM conversations WHERE role = 'user' AND text IS NOT NULL),
-g AS (SELECT id, list_distinct(CASE WHEN length(s) < 3 THEN [s] ELSE [substr(s, i, 3) FOR i IN range(1, length(s) - 1)] END) AS g FROM s),
+    "char3_neardup": f"""WITH o AS (SELECT conv_id || ':' || turn AS id, {C3} AS s FROM conversations WHERE role = 'user' AND text IS NOT NULL), s AS (SELECT min(id) AS id, s FROM o GROUP BY s),
+g AS (SELECT id, list_distinct(CASE WHEN length(s) < 3 THEN [s] ELSE [substr(s, i, 3) FOR i IN range(1, length(s) - 1)] END) AS g FROM s WHERE length(s) > 0),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM g a JOIN g b ON a.id < b.id AND len(a.g) >= 0.92 * len(b.g) AND len(b.g) >= 0.92 * len(a.g))
-SELECT a, b, round(n / (m - n), 6) AS jaccard FROM p WHERE n / (m - n) >= 0.92""",
+SELECT a, b, round(n / (m - n), 6) AS jaccard FROM p WHERE n / (m - n) >= 0.92 UNION ALL SELECT s.id, o.id, 1.0::DOUBLE FROM o JOIN s USING (s) WHERE o.id <> s.id""",
     "normalized_tokens": f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "corpus_profile": "SELECT source, count(*) AS n_rows, round(avg(length(text)), 4) AS avg_chars, sum(length(text) // 4) AS est_tokens, count(*) FILTER (lang IS NULL) AS null_langs, max(length(text)) AS max_chars FROM documents GROUP BY source",
     "corpus_profile_rollup": "SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n_rows, round(avg(length(text)), 4) AS avg_chars, sum(length(text)) AS chars FROM documents GROUP BY ROLLUP (lang, source)",
