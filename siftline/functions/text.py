@@ -48,15 +48,14 @@ def normalize_tokens(text: Column) -> Column:
     return F.when(other, _tokens_udf(F.when(other, text))).otherwise(plain)
 
 
-def runs_of(tokens: Column, n: int, short_whole: bool = False, sep: str = " ") -> Column:
-    """P5: n-grams joined by a separator; fewer tokens give none, or one short gram.
+def runs_of(tokens: Column, n: int) -> Column:
+    """P5: all n-grams joined by a space, in order; fewer tokens give none.
 
-    ``tokens`` must be a column that exists: a lambda computes an expression for each gram anew.
+    One look-ahead expression over the joined tokens: a lambda over positions would be
+    interpreted for each gram, some fifty times slower.
     """
-    size = F.size(tokens)
-    every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), sep))
-    less = F.array(F.array_join(tokens, sep)) if short_whole else F.array().cast("array<string>")
-    return F.when(size >= n, every).when(size > 0, less).otherwise(F.array().cast("array<string>"))
+    run = rf"(?:^|(?<= ))(?=((?:[^ ]++ ){{{n - 1}}}[^ ]++))"
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(run), 1)
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -76,10 +75,20 @@ def letters_only(text: Column) -> Column:
     return F.when(other, _letters_udf(F.when(other, text))).otherwise(plain)
 
 
-def chars(text: Column) -> Column:
-    """The characters of a text, to be cut by :func:`runs_of`; a substring from the
-    start for each gram would cost the square of a long text."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def char_runs(text: Column, n: int, short_whole: bool = False) -> Column:
+    """All substrings of n characters in order; a shorter text gives none, or itself.
+
+    ``text`` must be a column that exists. Texts with characters beyond the basic plane are
+    cut from a character array, since the expression steps by UTF-16 units.
+    """
+    every = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1)
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    slow = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    less = F.when(F.length(text) > 0, F.array(text)) if short_whole else F.lit(None)
+    return F.when(F.length(text) < n, F.coalesce(less, F.array().cast("array<string>"))).when(text.rlike(ASTRAL), slow).otherwise(every)
 
 
 def collapsed(text: Column) -> Column:

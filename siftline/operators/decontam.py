@@ -94,8 +94,7 @@ def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float)
     own = df.select(F.col(key).alias("id"), form.alias("form"))
     classes = own.groupBy("form").agg(F.min("id").alias("rep"))
     members = own.join(classes, "form").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    rows = classes.select(F.col("rep").alias("id"), T.chars(F.col("form")).alias("t"))
-    rows = rows.select("id", F.array_distinct(T.runs_of(F.col("t"), n, short_whole=True, sep="")).alias("g"))
+    rows = classes.select(F.col("rep").alias("id"), F.array_distinct(T.char_runs(F.col("form"), n, short_whole=True)).alias("g"))
     flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = flat.join(df_of, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))

@@ -63,7 +63,7 @@ def decontam_ascii8(spark, sf):
 def char8_overlap(spark, sf):
     """Character 8-grams of the letters alone, one hit suffices."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return D.first_gram_hit(docs, items, "doc_id", lambda c: T.chars(T.letters_only(c)), lambda t: T.runs_of(t, 8, sep=""))
+    return D.first_gram_hit(docs, items, "doc_id", T.letters_only, lambda t: T.char_runs(t, 8))
 
 
 def char3_neardup(spark, sf):
