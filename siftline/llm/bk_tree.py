@@ -134,35 +134,18 @@ class Labels:
                 self.of = step
 
 
-def spanning_links(shards: DataFrame, radius: int, sketch: int = 0, similarity: float = 0.0) -> DataFrame:
-    """(a, b) from (shard, id, fp[, sketch]): a spanning forest of the links of each shard's tree.
+def by_shard(shards: DataFrame, columns: list[str], solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``solve`` gives for whole shards of (shard, id, ...) rows.
 
     Rows of a shard meet in one task, sorted; a task holds one Arrow batch and the last
-    shard of the batch before. With ``sketch`` bytes of minima, a link also needs that
-    share of equal bytes.
+    shard of the batch before.
     """
 
-    def solve(shard: np.ndarray, ids: np.ndarray, fp: np.ndarray, sk: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        forest, labels = Forest(fp, shard), Labels(len(fp))
-        for a, b in forest.links(radius):
-            if sk is not None and len(a):
-                apart = labels.of[a] != labels.of[b]
-                a, b = a[apart], b[apart]
-                keep = np.concatenate([(sk[a[i : i + 65536]] == sk[b[i : i + 65536]]).mean(1) >= similarity for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-                a, b = a[keep], b[keep]
-            labels.join(a, b)
-        moved = np.flatnonzero(labels.of != np.arange(len(fp)))
-        return ids[moved], ids[labels.of[moved]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def emit(table: pa.Table) -> pa.RecordBatch:
-            shard, ids, fp = (table.column(c).to_numpy() for c in ("shard", "id", "fp"))
-            sk = None
-            if sketch:
-                sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, sketch)
-            a, b = solve(shard, ids, fp, sk)
+            a, b = solve(table)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -178,10 +161,24 @@ def spanning_links(shards: DataFrame, radius: int, sketch: int = 0, similarity:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    dealt = shards.repartition("shard").sortWithinPartitions("shard", "id")
+    dealt = shards.select("shard", "id", *columns).repartition("shard").sortWithinPartitions("shard", "id")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def spanning_links(shards: DataFrame, radius: int) -> DataFrame:
+    """(a, b) from (shard, id, fp): a spanning forest of the links of each shard's tree."""
+
+    def solve(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        shard, ids, fp = (table.column(c).to_numpy() for c in ("shard", "id", "fp"))
+        forest, labels = Forest(fp, shard), Labels(len(fp))
+        for a, b in forest.links(radius):
+            labels.join(a, b)
+        moved = np.flatnonzero(labels.of != np.arange(len(fp)))
+        return ids[moved], ids[labels.of[moved]]
+
+    return by_shard(shards, ["fp"], solve)
+
+
 def byte_keys() -> list[tuple[int, int]]:
     """(number, signed mask) of the 28 ways to keep 6 of 8 bytes."""
     masks = (sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), 6))
@@ -209,9 +206,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, text: str
 
 # ---- groups of near copies by shingle similarity, for the pipeline ----
 
-#: Minima that deal texts to shards (by pairs of them), bytes of minima that prune, the radius
-#: and pruning share that a similarity of 0.8 stays clear of by more than three deviations.
-MINIMA, SKETCH, WIDE_RADIUS, PRUNE = 5, 64, 20, 0.62
+#: Minima that deal texts to shards (by pairs of them), bytes of minima that prune, and the
+#: share of equal bytes that prunes: of similarity 0.8, fewer are equal with probability 2e-10.
+MINIMA, SKETCH, PRUNE = 5, 64, 0.45
 #: Members of a candidate component that one task compares; larger ones are compared in blocks.
 BLOCK = 8192
 
@@ -229,17 +226,15 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """(key, words, fp, lows, sketch): a hash of the words, the fingerprint, and minima of the shingles."""
+    """(key, words, lows, sketch): a hash of the words, and minima of the distinct shingles."""
 
     def make():
         def f(key, text):
-            out: dict[str, list] = {"key": key, "words": [], "fp": [], "lows": [], "sketch": []}
+            out: dict[str, list] = {"key": key, "words": [], "lows": [], "sketch": []}
             for t in text:
                 w = words_of(t)
-                h = shingle_hashes(w, width)
-                m = minima(h)
+                m = minima(shingle_hashes(w, width))
                 out["words"].append(xxhash.xxh3_128_digest(b" ".join(w)))
-                out["fp"].append(simhash(h))
                 out["lows"].append(m[:MINIMA].view(np.int64))
                 out["sketch"].append((m[MINIMA:] >> np.uint64(32)).astype(np.uint8).tobytes())
             return out
@@ -247,25 +242,67 @@ def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
         return f
 
     rows = narrow(docs, key=docs[key].cast("bigint"), text=text)
-    return map_batches(rows, make, "key bigint, words binary, fp bigint, lows array<bigint>, sketch binary")
+    return map_batches(rows, make, "key bigint, words binary, lows array<bigint>, sketch binary")
+
+
+def alike(sketches: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Which of the others share enough bytes with one."""
+    return np.concatenate([(sketches[others[i : i + 65536]] == sketches[one]).sum(1) >= PRUNE * SKETCH for i in range(0, len(others), 65536)])
+
+
+def grown(places: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, others linked to it, directly or not): each place meets only those that no group has yet."""
+    while len(places):
+        first, places = int(places[0]), places[1:]
+        asked = [first]
+        while asked and len(places):
+            hit = near(asked.pop(), places)
+            if hit.any():
+                found, places = places[hit], places[~hit]
+                asked += found.tolist()
+                yield first, found
+
+
+def sketch_links(shards: DataFrame) -> DataFrame:
+    """(a, b) from (shard, id, sketch): a spanning forest of the pairs in a shard whose sketches are alike."""
+
+    def solve(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        shard, ids = (table.column(c).to_numpy() for c in ("shard", "id"))
+        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        sizes = np.diff(starts, append=len(shard))
+        pairs = starts[sizes == 2]
+        pairs = pairs[(sk[pairs] == sk[pairs + 1]).sum(1) >= PRUNE * SKETCH]
+        a, b = [ids[pairs + 1]], [ids[pairs]]
+        for start, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            for first, found in grown(np.arange(start, start + n), lambda x, others: alike(sk, x, others)):
+                a.append(ids[found])
+                b.append(np.full(len(found), ids[first]))
+        return np.concatenate(a), np.concatenate(b)
+
+    return by_shard(shards, ["sketch"], solve)
 
 
 def similar_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from (part, id, fp, sketch, hashes): links verified on whole shingle sets, inside each part."""
+    """(a, b) from (part, id, sketch, hashes): links verified on whole shingle sets, inside each part."""
 
-    def solve(ids, fp, sketches, sets) -> tuple[list[int], list[int]]:
+    def solve(ids, sketches, sets) -> tuple[list[int], list[int]]:
         sk = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-        forest, labels = Forest(fp, np.zeros(len(fp), np.int64)), Labels(len(fp))
         own = [np.frombuffer(s, np.uint64) for s in sets]
-        for a, b in forest.links(WIDE_RADIUS):
-            keep = np.concatenate([(sk[a[i : i + 65536]] == sk[b[i : i + 65536]]).mean(1) >= PRUNE for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-            for x, y in zip(a[keep].tolist(), b[keep].tolist()):
-                if labels.of[x] != labels.of[y] and (len(own[x]) + len(own[y])):
-                    n = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                    if n >= similarity * (len(own[x]) + len(own[y]) - n) - 1e-9:
-                        labels.join(np.array([x]), np.array([y]))
-        moved = np.flatnonzero(labels.of != np.arange(len(fp)))
-        return [ids[i] for i in moved], [ids[labels.of[i]] for i in moved]
+        size = np.array([len(x) for x in own])
+
+        def near(x: int, others: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+            hit = (low >= similarity * high - 1e-9) & (high > 0)
+            hit[hit] = alike(sk, x, others[hit]) if hit.any() else False
+            for i in np.flatnonzero(hit):
+                y = others[i]
+                n = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                hit[i] = n >= similarity * (size[x] + size[y] - n) - 1e-9
+            return hit
+
+        links = [(ids[y], ids[first]) for first, found in grown(np.arange(len(ids)), near) for y in found]
+        return [a for a, _ in links], [b for _, b in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
@@ -281,10 +318,10 @@ def similar_links(members: DataFrame, similarity: float) -> DataFrame:
             yield out(rows)
 
     def out(rows) -> pa.RecordBatch:
-        a, b = solve([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], [r[4] for r in rows])
+        a, b = solve([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = members.select("part", "id", "fp", "sketch", "hashes").repartition("part").sortWithinPartitions("part", "id")
+    dealt = members.select("part", "id", "sketch", "hashes").repartition("part").sortWithinPartitions("part", "id")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -293,17 +330,17 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
 
     Texts of the same words are one candidate. Candidates are dealt to shards by pairs of
     ``MINIMA`` min-hash values (two texts of similarity 0.8 share none with probability
-    0.007, of 0.9 with 0.0005), linked there by BK-trees of wide radius and pruned by
-    sketches; whole shingle sets then verify every link. Components of candidates of more
+    0.007, of 0.9 with 0.0005) and linked there if their sketches are alike. Both are of
+    shingle sets, as the similarity is, so lines that repeat don't matter; whole shingle sets then verify every link. Components of candidates of more
     than BLOCK members are verified in pairs of blocks, so a task's memory is bounded.
     Rows with a null key are left out.
     """
     sig = materialize(signatures(docs, width, text, key).where("key is not null"))
-    reps = sig.groupBy("words").agg(F.min(F.struct("key", "fp", "lows", "sketch")).alias("r"))
-    reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.fp", "r.lows", "r.sketch"))
+    reps = sig.groupBy("words").agg(F.min(F.struct("key", "lows", "sketch")).alias("r"))
+    reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.lows", "r.sketch"))
     pairs = [F.xxhash64(F.lit(i), F.lit(j), F.col("lows")[i], F.col("lows")[j]) for i, j in combinations(range(MINIMA), 2)]
-    shards = reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "fp", "sketch")
-    near = components(spanning_links(shards, WIDE_RADIUS, SKETCH, PRUNE))
+    shards = reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "sketch")
+    near = components(sketch_links(shards))
     near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
     size = near.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -312,18 +349,18 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = near.join(size, "component").select("node", "component", blocks.alias("blocks")).withColumn("p", place).withColumn("q", other)
     cut = cut.select(F.col("node").alias("id"), F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")).alias("part"))
-    asked = cut.join(reps.select("id", "fp", "sketch"), "id")
+    asked = cut.join(reps.select("id", "sketch"), "id")
 
     def make():
-        def f(part, id, fp, sketch, text):
+        def f(part, id, sketch, text):
             sets = [np.unique(shingle_hashes(words_of(t), width)).tobytes() for t in text]
-            return {"part": part, "id": id, "fp": fp, "sketch": sketch, "hashes": sets}
+            return {"part": part, "id": id, "sketch": sketch, "hashes": sets}
 
         return f
 
     texts = narrow(docs, id=docs[key].cast("bigint"), text=text)
-    members = asked.join(texts, "id").select("part", "id", "fp", "sketch", "text")
-    members = map_batches(members, make, "part bigint, id bigint, fp bigint, sketch binary, hashes binary")
+    members = asked.join(texts, "id").select("part", "id", "sketch", "text")
+    members = map_batches(members, make, "part bigint, id bigint, sketch binary, hashes binary")
     groups = components(similar_links(members, similarity))
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("component", "id").alias("group"))
     return sig.select("key", "words").join(named, "words").select("key", "group")

@@ -134,6 +134,15 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, block):
     assert kept == {i for i, g in want.items() if i == g}
 
 
+def test_near_groups_of_repeated_lines(spark):
+    rows, r = [], random.Random(9)
+    for i in range(30):  # one line repeated 40 times: the sets differ in a few shingles, the counted ones in most
+        base = [f"d{i}x{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"line{i}w{j}" for j in range(8)] * 40))]
+    got = {x.key: x.group for x in bk_tree.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in got} and len(got) == 60
+
+
 def test_near_edges(edge, empty):
     assert bk_tree.near_duplicates(edge).count() == edge.count()
     assert bk_tree.near_duplicates(empty).count() == 0
