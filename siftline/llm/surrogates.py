@@ -95,17 +95,18 @@ def script_of(name: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, canonical form) that don't overlap, in order."""
     spans: list[tuple[int, int, str, str]] = []
-    if "@" in text or HAS.search(text):
-        for kind, pattern in KINDS:
-            if kind == "email" and "@" not in text:
+    number = bool(HAS.search(text))
+    needed = {"email": "@" in text, "secret": True}  # the other kinds have a digit
+    for kind, pattern in KINDS:
+        if not needed.get(kind, number):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span("v") if "v" in pattern.groupindex else m.span()
+            if kind == "ipv4" and any(int(x) > 255 for x in text[a:b].split(".")):
                 continue
-            for m in pattern.finditer(text):
-                a, b = m.span("v") if "v" in pattern.groupindex else m.span()
-                if kind == "ipv4" and any(int(x) > 255 for x in text[a:b].split(".")):
-                    continue
-                if kind == "phone" and len(digits(text[a:b])) < 8:
-                    continue
-                spans.append((a, b, kind, canonical(kind, text[a:b])))
+            if kind == "phone" and len(digits(text[a:b])) < 8:
+                continue
+            spans.append((a, b, kind, canonical(kind, text[a:b])))
     for m in PERSON.finditer(text):
         gender, names = GENDER[m["t"]], [g for g in "ab" if m[g]]
         for g in names:

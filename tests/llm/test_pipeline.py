@@ -27,6 +27,13 @@ def test_surrogates_keep_type_and_layout():
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+@pytest.mark.parametrize("text", ["password: correcthorsebattery", "the key sk-abcdefghijklmnopqrst is ours"])
+def test_secrets_need_no_digit(text):
+    [(a, b, kind, canon)] = surrogates.find(text)
+    assert kind == "secret" and canon not in replaced(text)
+    assert replaced(text + ", 7 times") == replaced(text) + ", 7 times"
+
+
 def test_surrogates_keep_people_apart_and_together():
     out = replaced("Mr John Smith met Mrs Anna JONES; Mr Smith left. госпожа Анна Иванова")
     m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) ([A-Z]+); Mr (\w+) left. госпожа (\w+) (\w+)", out)
