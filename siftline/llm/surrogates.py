@@ -3,7 +3,7 @@
 Detected entities are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment
 card and account numbers, social security numbers, IBANs, secrets after a telling word
 or prefix, and names after a title. Each has a canonical form (digits of a phone
-number, lower-cased address), and its surrogate is drawn from a keyed hash of kind,
+number, lower-cased address, full IPv6 groups), and its surrogate is drawn from a keyed hash of kind,
 canonical form and attempt. It keeps type and layout: letters of the same script and
 case, digits, separators, country codes, private address ranges, the card's first digit
 and checksum validity, IBAN check digits, the gender of a name and its title.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -60,12 +61,15 @@ GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 SECRET_WORDS = "token api_key apikey api-key secret password passwd access_key private_key client_secret auth_token"
 
 NAME = r"[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
+H, V4 = r"[0-9A-Fa-f]{1,4}", r"(?:\d{1,3}\.){3}\d{1,3}"
+#: A whole quoted value, or all up to a blank, a closing quote, a tag or the next ``name=``.
+VALUE = r"""\"(?P<q>(?:\\.|[^\"\\\n]){8,})\"|'(?P<s>(?:\\.|[^'\\\n]){8,})'|[\"']?(?P<v>(?![\"'])(?:[^\s\"'<,;&]|[,;&](?![\w.-]+[\"']?\s{0,3}[=:])|[\"'](?=\w)|<(?![/A-Za-z!])){7,}(?:[^\s\"'<>,;&]|&(?![\w.-]+[\"']?\s{0,3}[=:])))"""
 KINDS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"[^\W_][\w.%+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+")),
-    ("secret", re.compile(r"(?i)\b(?:" + "|".join(SECRET_WORDS.split()) + r")\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"'<>;,&*#$%!]{8,})")),
+    ("secret", re.compile(r"(?i)(?:" + "|".join(SECRET_WORDS.split()) + r")\b[\"']?\s{0,3}[=:]\s{0,3}(?:" + VALUE + ")")),
     ("secret", re.compile(r"\b(?P<v>(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}))")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ipv6", re.compile(rf"(?<!\w)(?<!::)(?:(?:{H}:){{6}}{V4}|(?:{H}(?::{H}){{0,4}})?::(?:{H}:){{0,4}}{V4}|(?:{H}:){{7}}{H}|(?:{H}(?::{H}){{0,6}})?::(?:{H}(?::{H}){{0,6}})?)(?!\w|:[\w:])")),
     ("ipv4", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)")),
@@ -74,6 +78,9 @@ KINDS: list[tuple[str, re.Pattern]] = [
 ]
 PERSON = re.compile(r"\b(?P<t>" + "|".join(GENDER) + r")\b\.?[  ](?P<a>" + NAME + r")(?:[  ](?P<b>" + NAME + r"))?")
 HAS = re.compile(r"\d")
+#: What a text with secrets has at least, case-folded or as it is.
+TELLING = ("token", "api_key", "apikey", "api-key", "secret", "passw", "access_key", "private_key")
+PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "sk-", "eyJ")
 
 
 def digits(s: str) -> str:
@@ -85,23 +92,40 @@ def canonical(kind: str, s: str) -> str:
         return digits(s)
     if kind == "iban":
         return s.replace(" ", "")
-    return s.lower() if kind in ("email", "ipv6") or kind.startswith(("given", "surname")) else s
+    if kind == "ipv6":
+        return ":".join(re.findall("....", f"{int(ipaddress.IPv6Address(s)):032x}"))
+    return s.lower() if kind == "email" or kind.startswith(("given", "surname")) else s
 
 
 def script_of(name: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
 
 
+def is_ipv6(text: str, a: int, b: int) -> bool:
+    """An address other than ``::`` that is no end of a longer run of hexadecimal groups."""
+    try:
+        value = int(ipaddress.IPv6Address(text[a:b]))
+    except ValueError:
+        return False
+    return value > 0 and not (text[max(0, a - 1) : a] == ":" and re.search(rf"(?<!\w){H}:$", text[max(0, a - 6) : a]))
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, canonical form) that don't overlap, in order."""
     spans: list[tuple[int, int, str, str]] = []
     number = bool(HAS.search(text))
-    needed = {"email": "@" in text, "secret": True}  # the other kinds have a digit
+    folded = text.casefold() if "=" in text or ":" in text else ""
+    secret = any(x in folded for x in TELLING) or any(x in text for x in PREFIXES)
+    needed = {"email": "@" in text, "secret": secret, "ipv6": text.count(":") > 1}  # the other kinds have a digit
     for kind, pattern in KINDS:
         if not needed.get(kind, number):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span("v") if "v" in pattern.groupindex else m.span()
+            a, b = m.span(m.lastgroup or 0)
+            if kind == "secret" and not any(map(str.isalnum, text[a:b])):  # a mask
+                continue
+            if kind == "ipv6" and not is_ipv6(text, a, b):
+                continue
             if kind == "ipv4" and any(int(x) > 255 for x in text[a:b].split(".")):
                 continue
             if kind == "phone" and len(digits(text[a:b])) < 8:
@@ -189,6 +213,13 @@ def surrogate(secret: bytes, kind: str, canon: str, attempt: int) -> str:
         first = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         own = [str(first[draw.below(len(first))])] + [str(1 + draw.below(254)) for _ in range(3)]
         return ".".join(canon.split(".")[:keep] + own[keep:])
+    if kind == "ipv6":  # zero groups stay, so every layout of the address fits, until that leaves no room
+        old = [int(g, 16) for g in canon.split(":")]
+        fixed = {0} if old[0] >> 6 == 0x3FA or old[0] >> 9 == 0x7E or old[0] >> 8 == 0xFF else {5} if old[:6] == [0] * 5 + [0xFFFF] else set()
+        fixed |= set([i for i in range(8) if not old[i]][: 8 - max(0, more - 1)])
+        size = [4 if more or not g else len(f"{g:x}") for g in old]
+        low = [16 ** (n - 1) for n in size]
+        return ":".join(f"{g if i in fixed else low[i] + draw.below(16 ** size[i] - low[i]):04x}" for i, g in enumerate(old))
     if kind == "iban":
         body = draw.like(canon[4:])
         number = int("".join(str(int(c, 36)) for c in body + canon[:2] + "00"))
@@ -203,6 +234,22 @@ def surrogate(secret: bytes, kind: str, canon: str, attempt: int) -> str:
     return draw.like(canon + "a" * more, hexa=bool(re.fullmatch(r"[0-9a-fA-F:]+", canon)))
 
 
+def ipv6_like(seen: str, canon: str) -> str:
+    """An address in the layout of another: compressed, padded, dotted and cased alike."""
+    new = [int(g, 16) for g in canon.split(":")]
+    head, gap, tail = seen.partition("::")
+    parts = [x.split(":") if x else [] for x in (head, tail)]
+    n, end = (len(part) + any("." in x for x in part) for part in parts)
+
+    def show(part: list[str], groups: list[int]) -> str:
+        it = iter(groups)
+        return ":".join(".".join(map(str, next(it).to_bytes(2) + next(it).to_bytes(2))) if "." in x else f"{next(it):x}".zfill(len(x)) for x in part)
+
+    fits = not any(new[n : 8 - end])
+    out = show(parts[0], new) + gap + show(parts[1], new[8 - end :]) if fits else ipaddress.IPv6Address(canon).compressed
+    return out.upper() if seen.isupper() else out
+
+
 def rendered(kind: str, seen: str, canon: str) -> str:
     """A surrogate's canonical form in the layout and case of what it replaces."""
     if kind in ("phone", "card", "ssn"):
@@ -211,10 +258,12 @@ def rendered(kind: str, seen: str, canon: str) -> str:
     if kind == "iban":
         it = iter(canon)
         return "".join(c if c == " " else next(it) for c in seen)
-    if kind in ("email", "ipv6") or kind.startswith(("given", "surname")):
+    if kind == "ipv6":
+        return ipv6_like(seen, canon)
+    if kind == "email" or kind.startswith(("given", "surname")):
         if seen.isupper():
             return canon.upper()
-        if kind not in ("email", "ipv6"):
+        if kind != "email":
             return canon.title()
         return canon.title() if seen.istitle() else canon
     return canon

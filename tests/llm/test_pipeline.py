@@ -34,6 +34,37 @@ def test_secrets_need_no_digit(text):
     assert replaced(text + ", 7 times") == replaced(text) + ", 7 times"
 
 
+@pytest.mark.parametrize("value", ["2001:db8::8a2e:370:7334", "fe80::1", "::1", "::ffff:192.0.2.77", "FE80::AB", "2001:db8::", "dead::beef", "1:2:3:4:5:6:7:8"])
+def test_ipv6_forms(value):
+    text = f"from {value}: ok, ip:{value}, [{value}]:80"
+    spans = surrogates.find(text)
+    assert [(text[a:b], k) for a, b, k, _ in spans] == [(value, "ipv6")] * 3
+    new = re.fullmatch(r"from (\S+): ok, ip:(\S+), \[(\S+)\]:80", replaced(text))
+    assert new and new[1] == new[2] == new[3] != value and surrogates.canonical("ipv6", new[1])
+    assert re.sub(r"\d+|[A-Fa-f]+|[\dA-Fa-f]+", "", new[1]) == re.sub(r"\d+|[A-Fa-f]+", "", value)
+    assert len({surrogates.surrogate(KEY, "ipv6", spans[0][3], i) for i in range(40)}) > 20
+
+
+def test_ipv6_layouts_are_one_entity():
+    long, short = replaced("2001:0db8:0000:0000:0000:0000:0000:00a1 2001:db8::a1").split()
+    assert surrogates.canonical("ipv6", long) == surrogates.canonical("ipv6", short) and len(long) == 39 and "::" in short
+    for clean in ("std::vector at 12:30:45, a :: b", "aa:bb:cc:dd:ee:ff:00:11:22:33:44:55:66:77:88:99", "password: ********"):
+        assert replaced(clean) == clean
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("DB_PASSWORD=hunter2hunter2", "hunter2hunter2"), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("dbPassword: hunter2hunter2, x", "hunter2hunter2"),
+        ("password=abc$defgh1jkl", "abc$defgh1jkl"), ("password=Abcdefg1!secretrest", "Abcdefg1!secretrest"), ("password=a#b%c&d*e!f1", "a#b%c&d*e!f1"), ("?token=abcdefgh12&user=bob", "abcdefgh12"),
+        ('{"password": "my long, pass \\" phrase", "user": "bob"}', 'my long, pass \\" phrase'), ("secret='two words!'", "two words!"), ("<b>token=abcdefgh12</b>", "abcdefgh12"), ("password=\"abcd<efgh\"", "abcd<efgh"),
+    ],
+)
+def test_secret_forms(text, value):
+    assert [(text[a:b], k) for a, b, k, _ in surrogates.find(text)] == [(value, "secret")]
+    assert value not in replaced(text)
+
+
 def test_surrogates_keep_people_apart_and_together():
     out = replaced("Mr John Smith met Mrs Anna JONES; Mr Smith left. госпожа Анна Иванова")
     m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) ([A-Z]+); Mr (\w+) left. госпожа (\w+) (\w+)", out)
