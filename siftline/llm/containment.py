@@ -18,7 +18,10 @@ shuffled.
 
 Defined results: null or empty items match nothing, null or empty documents hold
 nothing. Repeated items match alike, each under its id; repeated documents are all
-reported. Items of fewer than five words match only documents of the same words.
+reported. By default, as in the SQL, items of fewer than five words match only documents of
+the same words. With ``any_length``, which the query and the pipeline set, such an item is
+one shingle of its own number of words and is found inside longer documents too, and CJK
+characters are words of their own (as in P4), so unspaced passages have shingles.
 """
 
 from __future__ import annotations
@@ -32,30 +35,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import CJK
 from siftline.llm.common import map_batches, narrow
 
 WIDTH, THRESHOLD, BLOCK_BYTES = 5, 0.8, 8_000_000
 WORD = re.compile(r"[^\W_]+")
+_SINGLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK)
+SINGLE_OR_WORD = re.compile(rf"(?=[^\W_])[{_SINGLE}]|[^\W_{_SINGLE}]+")
+
+
+def words_of(text: str | None, pattern: re.Pattern = WORD) -> list[str]:
+    return pattern.findall((text or "").lower())
+
+
+def runs(w: list[str], width: int):
+    return zip(*(w[i:] for i in range(width)))
 
 
 def shingles(text: str | None, width: int = WIDTH):
     """All shingles of a text in order, repeats included."""
-    w = WORD.findall((text or "").lower())
+    return cut(words_of(text), width)
+
+
+def cut(w: list[str], width: int):
     if len(w) < width:
         return iter([tuple(w)] if w else [])
-    return zip(*(w[i:] for i in range(width)))
+    return runs(w, width)
 
 
 class Index:
     """The sketches of a block of items by size partition, and their full shingle sets."""
 
-    def __init__(self, items: list[tuple[object, str]], width: int = WIDTH, threshold: float = THRESHOLD):
-        self.width, self.threshold = width, threshold
+    def __init__(self, items: list[tuple[object, str]], width: int = WIDTH, threshold: float = THRESHOLD, any_length: bool = False):
+        self.width, self.threshold, self.pattern = width, threshold, SINGLE_OR_WORD if any_length else WORD
+        self.short: dict[int, dict[tuple, list]] = {}  # by number of words
         self.sets: list[frozenset] = []
         self.ids: list = []
         self.parts: dict[int, tuple[int, dict[tuple, list[int]]]] = {}
         for item, text in items:
-            own = frozenset(shingles(text, width))
+            words = words_of(text, self.pattern)
+            if any_length and 0 < len(words) < width:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(item)
+                continue
+            own = frozenset(cut(words, width))
             if not own:
                 continue
             need = self.need(len(own))
@@ -75,17 +97,19 @@ class Index:
 
     def search(self, text: str | None) -> list[tuple[object, int, int]]:
         """(item, shared shingles, item's shingles) of all items that the text holds."""
-        met = self.keys.intersection(shingles(text, self.width))
+        words = words_of(text, self.pattern)
+        inside = [(i, 1, 1) for n, items in self.short.items() for s in items.keys() & set(runs(words, n)) for i in items[s]]
+        met = self.keys.intersection(cut(words, self.width))
         if not met:
-            return []
-        own = set(shingles(text, self.width))
+            return inside
+        own = set(cut(words, self.width))
         candidates: set[int] = set()
         for least, keys in self.parts.values():
             if least <= len(own):
                 for s in met & keys.keys():
                     candidates.update(keys[s])
         counts = ((i, len(self.sets[i] & own)) for i in sorted(candidates))
-        return [(self.ids[i], n, len(self.sets[i])) for i, n in counts if n >= self.need(len(self.sets[i]))]
+        return inside + [(self.ids[i], n, len(self.sets[i])) for i, n in counts if n >= self.need(len(self.sets[i]))]
 
 
 def item_blocks(items: DataFrame, text: str, key: str, block_bytes: int):
@@ -98,7 +122,7 @@ def item_blocks(items: DataFrame, text: str, key: str, block_bytes: int):
         yield sorted(((r["key"], r["text"]) for r in part.collect()), key=lambda r: (str(r[0]), r[1]))
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES, any_length: bool = False) -> DataFrame:
     """(key, item, n_shared, n_shingles, containment): every item that each document holds."""
     rows = narrow(docs, key=key, text=text)
     kinds = dict(rows.dtypes) | {"item": dict(items.dtypes)[item_key]}
@@ -107,7 +131,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wid
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
-            index = Index(shared.value, width, threshold)
+            index = Index(shared.value, width, threshold, any_length)
 
             def f(key, text):
                 found = [(k, *m) for k, t in zip(key, text) for m in index.search(t)]
@@ -120,14 +144,14 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wid
     return every.select(F.col("key").alias(key), F.col("item").alias(item_key), "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES, any_length: bool = False) -> DataFrame:
     """The documents that hold no item, rows and columns as they are."""
     at = docs.columns.index(text)
     for block in item_blocks(items, item_text, item_key, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            index = Index(shared.value, width, threshold)
+            index = Index(shared.value, width, threshold, any_length)
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -60,7 +60,7 @@ def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containment.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return containment.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_length=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -182,6 +182,16 @@ def test_containment_equals_brute_force(spark, edge, empty):
     assert containment.matches(empty, frame).count() == 0
 
 
+def test_containment_of_short_and_unspaced_items(spark):
+    items = [(1, "Ringed Seal"), (2, "polonium"), (3, "量子力学の基礎方程式を述べよ"), (4, "東京"), (5, "a b c d e f"), (6, "東京タワー")]
+    rows = [(10, "a paper on the ringed seal, its young " + "and more " * 50), (11, "ringed. Polonium"), (12, "問題：量子力学の基礎方程式を述べよ。答えは次の通りです"), (13, "私は東京に住む"), (14, "ringed x seal"), (15, "a b c d e f")]
+    docs, frame = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = containment.matches(docs, frame, any_length=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(10, 1), (11, 2), (12, 3), (13, 4), (15, 5)]
+    assert {r.containment for r in found} == {1.0}
+    assert [r.doc_id for r in containment.clean(docs, frame, any_length=True).collect()] == [14]
+
+
 def test_url_rules_and_graph(spark):
     pages = [
         (1, "https://A.Example.org/es/x", '<a href="https://bad.com/q">'), (2, "http://example.org/en/12", None), (3, "https://x.org", ""), (4, "https://x.com/fr/", '<A HREF=//seen.net/a>'),
