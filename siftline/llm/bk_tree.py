@@ -206,20 +206,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, text: str
 
 # ---- groups of near copies by shingle similarity, for the pipeline ----
 
-#: Minima that deal texts to shards (by pairs of them), bytes of minima that prune, and the
-#: share of equal bytes that prunes: of similarity 0.8, fewer are equal with probability 2e-10.
-MINIMA, SKETCH, PRUNE = 5, 64, 0.45
+#: Disjoint pairs of minima that deal texts to shards: none is equal at similarity 0.8 with
+#: probability 0.36^20 = 1.3e-9. Minima whose bytes prune (the pairs are of the same ones), and
+#: the share of equal bytes that prunes: at 0.8, fewer are equal with probability 2e-10.
+BANDS, SKETCH, PRUNE = 20, 64, 0.45
 #: Members of a candidate component that one task compares; larger ones are compared in blocks.
 BLOCK = 8192
 
 _SEEDS = np.random.default_rng(11)
-_MULT = _SEEDS.integers(1, 1 << 63, MINIMA + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _SEEDS.integers(0, 1 << 63, MINIMA + SKETCH, dtype=np.uint64)
+_MULT = _SEEDS.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _SEEDS.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The smallest value of each of the hash functions over a text's shingles."""
-    out = np.full(MINIMA + SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         out = np.minimum(out, (hashes[at : at + 4096, None] * _MULT + _PLUS).min(0))
     return out
@@ -235,8 +236,8 @@ def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
                 w = words_of(t)
                 m = minima(shingle_hashes(w, width))
                 out["words"].append(xxhash.xxh3_128_digest(b" ".join(w)))
-                out["lows"].append(m[:MINIMA].view(np.int64))
-                out["sketch"].append((m[MINIMA:] >> np.uint64(32)).astype(np.uint8).tobytes())
+                out["lows"].append(m[: 2 * BANDS].view(np.int64))
+                out["sketch"].append((m >> np.uint64(32)).astype(np.uint8).tobytes())
             return out
 
         return f
@@ -328,9 +329,9 @@ def similar_links(members: DataFrame, similarity: float) -> DataFrame:
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, group): texts linked by a Jaccard similarity of their shingle sets, group = smallest key.
 
-    Texts of the same words are one candidate. Candidates are dealt to shards by pairs of
-    ``MINIMA`` min-hash values (two texts of similarity 0.8 share none with probability
-    0.007, of 0.9 with 0.0005) and linked there if their sketches are alike. Both are of
+    Texts of the same words are one candidate. Candidates are dealt to shards by ``BANDS``
+    disjoint pairs of min-hash values (two texts of similarity 0.8 share none with
+    probability 1.3e-9, of 0.9 with 4e-15) and linked there if their sketches are alike. Both are of
     shingle sets, as the similarity is, so lines that repeat don't matter; whole shingle sets then verify every link. Components of candidates of more
     than BLOCK members are verified in pairs of blocks, so a task's memory is bounded.
     Rows with a null key are left out.
@@ -338,7 +339,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     sig = materialize(signatures(docs, width, text, key).where("key is not null"))
     reps = sig.groupBy("words").agg(F.min(F.struct("key", "lows", "sketch")).alias("r"))
     reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.lows", "r.sketch"))
-    pairs = [F.xxhash64(F.lit(i), F.lit(j), F.col("lows")[i], F.col("lows")[j]) for i, j in combinations(range(MINIMA), 2)]
+    pairs = [F.xxhash64(F.lit(i), F.col("lows")[2 * i], F.col("lows")[2 * i + 1]) for i in range(BANDS)]
     shards = reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "sketch")
     near = components(sketch_links(shards))
     near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))

@@ -143,6 +143,17 @@ def test_near_groups_of_repeated_lines(spark):
     assert got == {k: k // 2 * 2 for k in got} and len(got) == 60
 
 
+def test_keys_of_near_copies():
+    """Sets of similarity 0.8: at most 1 in a million may share no key; with 10 pairs of 5 minima, 0.7 % did."""
+    rng, lost = np.random.default_rng(3), 0
+    for _ in range(2000):
+        h = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        a, b = (bk_tree.minima(np.concatenate([h[:80], own])) for own in (h[80:], rng.integers(0, 2**64, 10, dtype=np.uint64)))
+        keys = (a == b)[: 2 * bk_tree.BANDS].reshape(-1, 2).all(1)
+        lost += not keys.any()
+    assert lost == 0 and 0.36**bk_tree.BANDS < 1e-6
+
+
 def test_near_edges(edge, empty):
     assert bk_tree.near_duplicates(edge).count() == edge.count()
     assert bk_tree.near_duplicates(empty).count() == 0
