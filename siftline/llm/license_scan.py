@@ -13,7 +13,9 @@ find every such block without looking at the others:
   m - i tokens, and the candidate windows are those that cover that place.
 
 Candidates are verified by counting. Phrases with threshold 1 are then verified in
-sequence ("places"); templates give labels and the best containment as score.
+sequence ("places"); templates give labels and the best containment as score. Every window
+that meets a template counts; of windows that overlap, the best (then the earliest) is its
+block, so repeated notices give a block each.
 
 Defined results: null and empty texts have no words, no labels and score 0. Repeated
 texts get equal values; extra columns are ignored. Texts shorter than a template can
@@ -90,11 +92,16 @@ class Scanner:
 
     def scan(self, words: list[str]) -> tuple[dict[int, list[int]], dict[int, tuple[int, int, float]]]:
         """Places of phrases, and of each other template the best block (start, end, containment)."""
+        places, blocks = self.scan_all(words)
+        return places, {k: max(v, key=lambda b: b[2]) for k, v in blocks.items()}
+
+    def scan_all(self, words: list[str]) -> tuple[dict[int, list[int]], dict[int, list[tuple[int, int, float]]]]:
+        """Places of phrases, and of each other template all blocks in order."""
         places: dict[int, list[int]] = {}
-        blocks: dict[int, tuple[int, int, float]] = {}
+        windows: dict[int, dict[int, int]] = {}
         met = self.by_word.keys() & set(words)
         if not met:
-            return places, blocks
+            return places, {}
         for p, w in enumerate(words):
             if w not in met:
                 continue
@@ -108,16 +115,28 @@ class Scanner:
                         if start >= 0 and tuple(words[start : start + m]) == t.words:
                             places.setdefault(k, []).append(start)
                 else:
-                    self.best_block(words, p, k, blocks)
-        return {k: sorted(set(v)) for k, v in places.items()}, blocks
-
-    def best_block(self, words: list[str], p: int, k: int, blocks: dict[int, tuple[int, int, float]]) -> None:
-        """The best of the windows that cover place p, kept if it reaches the threshold."""
+                    self.meet(words, p, k, windows)
+        return {k: sorted(set(v)) for k, v in places.items()}, {k: self.apart(len(words), k, v) for k, v in windows.items()}
+
+    def apart(self, n: int, k: int, found: dict[int, int]) -> list[tuple[int, int, float]]:
+        """The blocks of n words: windows taken best first, earlier ones first, that overlap none taken."""
+        m, taken, out = len(self.templates[k].words), bytearray(n), []
+        for start, shared in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+            end = min(n, start + m)
+            if not (taken[start] or taken[end - 1]):
+                taken[start:end] = b"\1" * (end - start)
+                out.append((start, end, shared / m))
+        return sorted(out)
+
+    def meet(self, words: list[str], p: int, k: int, windows: dict[int, dict[int, int]]) -> None:
+        """Adds all windows that cover place p and reach the threshold, as start: shared tokens."""
         t, m, want = self.templates[k], len(self.templates[k].words), self.sets[k]
         first = max(0, p - m + 1)
         have = Counter(words[first : first + m])
         shared = sum(min(n, have[w]) for w, n in want.items())
-        best, at, start = shared, first, first
+        start = first
+        if shared >= t.need:
+            windows.setdefault(k, {})[start] = shared
         while start < p and start + m < len(words):
             out, into = words[start], words[start + m]
             start += 1
@@ -127,10 +146,8 @@ class Scanner:
             have[into] += 1
             if into in want:
                 shared += have[into] <= want[into]
-            if shared > best:
-                best, at = shared, start
-        if best >= t.need and best / m > blocks.get(k, (0, 0, 0.0))[2]:
-            blocks[k] = (at, min(len(words), at + m), best / m)
+            if shared >= t.need:
+                windows.setdefault(k, {})[start] = shared
 
 
 def word_counts(docs: DataFrame, vocabulary: set[str], text: str = "text") -> dict[str, int]:
@@ -155,7 +172,7 @@ def word_counts(docs: DataFrame, vocabulary: set[str], text: str = "text") -> di
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) of every document.
 
-    ``blocks`` lists each notice's best block as (label, start word, end word, containment).
+    ``blocks`` lists all blocks of each notice as (label, start word, end word, containment).
     """
     found = templates(phrases, notices, threshold)
     counts = word_counts(docs, {w for t in found for w in t.words}, text)
@@ -168,12 +185,12 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
             out: dict[str, list] = {"key": key} | {n: [] for n in names}
             for t in text:
                 words = words_of(t)
-                places, blocks = scanner.scan(words)
+                places, blocks = scanner.scan_all(words)
                 starts = [p for ps in places.values() for p in ps]
                 base = {found[k].label for k in places}
                 more = base | {found[k].label for k in blocks}
-                score = max([1.0] * bool(starts) + [b[2] for b in blocks.values()], default=0.0)
-                listed = [{"label": found[k].label, "start": b[0], "end": b[1], "containment": b[2]} for k, b in sorted(blocks.items())]
+                score = max([1.0] * bool(starts) + [b[2] for bs in blocks.values() for b in bs], default=0.0)
+                listed = [{"label": found[k].label, "start": b[0], "end": b[1], "containment": b[2]} for k, bs in sorted(blocks.items()) for b in bs]
                 row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(more)), score, listed)
                 for n, v in zip(names, row):
                     out[n].append(v)

@@ -156,3 +156,12 @@ def test_license_frames(spark, edge, empty):
     assert (got[3].n_base, got[3].first_word, got[3].labels, got[3].score) == (0, None, "", 0.0)
     assert got[4].n_words == 0
     assert license_scan.scan(edge).count() == edge.count() and license_scan.scan(empty).count() == 0
+
+
+def test_every_license_block_is_listed(spark):
+    notice = license_scan.NOTICES[8][1]
+    m = len(notice.split())
+    words = "a b c " + notice + " " + notice + " d e f g " + notice.replace("source", "x") + " h"
+    [r] = license_scan.scan(spark.createDataFrame([(1, words)], "doc_id long, text string")).collect()
+    assert [(b.start, b.end) for b in r.blocks if b.label == "bsd"] == [(3, 3 + m), (3 + m, 3 + 2 * m), (7 + 2 * m, 7 + 3 * m)]
+    assert (r.labels, r.score) == ("bsd", 1.0) and [b.containment < 1 for b in r.blocks] == [False, False, True]
