@@ -8,9 +8,11 @@ html) and distrust against them, from the linked to the linking host. A host who
 distrust exceeds ``ratio`` times its trust is blocked; all others are allowed.
 
 All state is one row per (host, direction); a round is one join on the source host and
-one sum per target host, so hot hosts combine before the shuffle. Rounds are fixed in
-number, so results don't depend on partitions but for the last bits of the sums, which
-``MARGIN`` keeps from deciding.
+one sum per target host, so hot hosts combine before the shuffle. Rounds go on until no
+host's trust or distrust changes by more than ``TOLERANCE`` of itself, so mass reaches
+hosts at any distance from the seeds; there is no cap. What is left of the sums, and their
+last bits, ``CLOSE`` keeps from deciding, as a share of the host's own trust and distrust.
+``ROUNDS`` and ``MARGIN`` are those of the SQL, which stops earlier.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed. Null html has no links. Without pages or edges the result follows
@@ -22,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize, narrow
+from siftline.llm.common import materialize, narrow, release
 
 DAMPING, ROUNDS, RATIO, MARGIN = 0.85, 10, 1.0, 1e-12
+#: Rounds between two checkpoints, whose states are compared.
+TOLERANCE, CLOSE, STRIDE = 1e-9, 1e-7, 3
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -55,8 +59,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` of personalised PageRank from (host, trust, distrust) seeds.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) of converged personalised PageRank from (host, trust, distrust) seeds.
 
     Mass of hosts without an edge in a direction leaves the graph.
     """
@@ -71,13 +75,22 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     both = materialize(both.join(out, ["src", "kind"]).select("src", "dst", "kind", (F.col("n") / F.col("total")).alias("w")))
     state = seeds
     if not both.isEmpty():
-        for i in range(rounds):
-            moved = both.join(state.withColumnRenamed("host", "src"), ["src", "kind"])
-            moved = moved.select(F.col("dst").alias("host"), "kind", (F.col("w") * F.col("s") * damping).alias("s"))
-            own = seeds.select("host", "kind", (F.col("s") * (1 - damping)).alias("s"))
-            state = moved.unionByName(own).groupBy("host", "kind").agg(F.sum("s").alias("s"))
-            if i % 3 == 2:
-                state = materialize(state)
+        own = seeds.select("host", "kind", (F.col("s") * (1 - damping)).alias("s"))
+        while True:
+            before = state
+            for _ in range(STRIDE):
+                moved = both.join(state.withColumnRenamed("host", "src"), ["src", "kind"])
+                moved = moved.select(F.col("dst").alias("host"), "kind", (F.col("w") * F.col("s") * damping).alias("s"))
+                state = moved.unionByName(own).groupBy("host", "kind").agg(F.sum("s").alias("s"))
+            state = materialize(state)
+            # a host that is reached or left is a change, however small its mass
+            both_states = state.join(before.withColumnRenamed("s", "old"), ["host", "kind"], "full")
+            s, old = F.coalesce("s", F.lit(0.0)), F.coalesce("old", F.lit(0.0))
+            done = both_states.where(F.abs(s - old) > s * tolerance).isEmpty()
+            if before is not seeds:
+                release(edges.sparkSession, before)
+            if done:
+                break
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("s"))), F.lit(0.0)).alias(kind)
     return state.groupBy("host").agg(pick("trust"), pick("distrust"))
 
@@ -95,7 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     seeds = seeds.select("host", share("good", good).alias("trust"), share("bad", bad).alias("distrust"))
     scores = spread(host_edges(rows), seeds)
     out = rows.drop("html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_method = F.when(F.col("distrust") > F.col("trust") * ratio + MARGIN, "block").otherwise("allow")
+    by_method = F.when(F.col("distrust") - F.col("trust") * ratio > (F.col("trust") + F.col("distrust")) * CLOSE, "block").otherwise("allow")
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "trust", "distrust")
 
 

@@ -214,3 +214,18 @@ def test_url_rules_and_graph(spark):
     assert {i: got[i].verdict for i in got} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "block", 9: "allow"}
     assert got[9].trust > 0 and got[8].distrust > 0
     assert link_graph.judge(df.where("page_id < 0"), URL_RULES).count() == 0
+
+
+def test_distrust_reaches_far_and_faint_hosts(spark):
+    link = lambda h: f'<a href="https://{h}/">'
+    n = 14  # a chain to a blocked host, longer than ten links
+    rows = [(i, f"https://h{i}.net/", link(f"h{i + 1}.net" if i + 1 < n else "bad.com")) for i in range(n)]
+    rows += [(50, "https://bad.com/de/1", None), (51, "https://free.net/", None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r for r in link_graph.judge(df, URL_RULES).collect()}
+    assert {i for i in got if got[i].verdict == "block"} == {*range(n), 50}
+    assert got[0].distrust == pytest.approx(0.15 * 0.85**n)
+    seeds = spark.createDataFrame([("bad.com", 0.0, 1e-8)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([(f"a{i}", "bad.com", 1) for i in range(2000)], "src string, dst string, n long")
+    faint = link_graph.spread(edges, seeds).where("host != 'bad.com'")
+    assert faint.count() == 2000 and faint.where("distrust > 0 and distrust < 1e-12").count() == 2000
