@@ -7,12 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, NullType, StructType
 
 #: Text bytes that one call of a batch function gets at most (a single longer text comes alone).
 BATCH_BYTES = 8_000_000
@@ -28,6 +29,22 @@ def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*(c.alias(k) if isinstance(c, Column) else df[c].alias(k) for k, c in columns.items()))
 
 
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The id column as bigint; ids that are no integers raise here and not in a task."""
+    if not isinstance(df.schema[key].dataType, (IntegralType, NullType)):
+        raise TypeError(f"{key} must be an integer column, not {df.schema[key].dataType.simpleString()}")
+    return df[key].cast("bigint")
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts (or binaries) end to end, and where each begins, with the end; a null has none."""
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def slices(batch: pa.RecordBatch, text_index: int | None) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most BATCH_BYTES of the text column."""
     if text_index is None or batch.num_rows < 2 or batch.nbytes <= BATCH_BYTES:

@@ -63,11 +63,37 @@ def test_repeats_edges(edge, empty):
 
 def test_longest_previous_factor():
     r = random.Random(1)
-    for t in (b"", b"a", b"banana", b"abcabcabcx", bytes(r.choice(b"ab") for _ in range(200))):
-        length, source = suffix_dedup.longest_previous_factor(t)
-        for i in range(len(t)):
-            best = max((next((k for k in range(len(t) - i) if t[i + k] != t[j + k]), len(t) - i) for j in range(i)), default=0)
-            assert length[i] == best and (best == 0 or t[source[i] : source[i] + best] == t[i : i + best])
+    for t in (b"", b"a", b"banana", b"abcabcabcx", b"aaaaaaaa", bytes(range(40)), bytes(r.choice(b"ab") for _ in range(200))):
+        suffixes = np.array(sorted(range(len(t)), key=lambda i: t[i:]), np.int64)
+        match = lambda i, j: next((k for k in range(len(t) - max(i, j)) if t[i + k] != t[j + k]), len(t) - max(i, j))
+        common = lambda a, b: np.array([match(i, j) for i, j in zip(suffixes[a].tolist(), suffixes[b].tolist())], np.int64)
+        lpf = suffix_dedup.longest_previous_factor(suffixes, common)
+        assert lpf.tolist() == [max((match(i, j) for j in range(i)), default=0) for i in suffixes.tolist()]
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 7, 8, 33, 200):
+        x = rng.integers(0, max(1, n // 2), n) if n else np.zeros(0, np.int64)
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(n)]
+        assert suffix_dedup.previous_smaller(x).tolist() == want
+
+
+def test_phrases_do_not_depend_on_chunks(monkeypatch):
+    texts = [t.encode() for _, t in passages() if t]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want = suffix_dedup.phrases(data, bounds, 100, 24)
+    for chunk in (150, 997):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(want, suffix_dedup.phrases(data, bounds, 100, 24)))
+    _, own, lo, hi, at = want
+    assert (lo >= bounds[own]).all() and (hi + 100 <= bounds[own + 1]).all() and (lo <= at).all() and (at + 24 <= lo + 100 + hi - lo).all()
+    assert (hi - lo + 1).sum() == sum(max(0, len(t) - 99) for t in texts)  # each string has one owner
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 @pytest.mark.parametrize("radius", [0, 2, 14])
