@@ -36,6 +36,14 @@ def integer_key(df: DataFrame, key: str) -> Column:
     return df[key].cast("bigint")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of texts (or binaries) end to end, and where each begins, with the end; a null has none."""
     column = column.fill_null(b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
@@ -85,10 +93,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., dict | list]], s
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests on one machine) a local folder is set first.
+    Where the setting is unset a local session gets a local folder; a cluster raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="siftline-"))
     return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 

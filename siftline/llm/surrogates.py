@@ -2,22 +2,32 @@
 
 Detected entities are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment
 card and account numbers, social security numbers, IBANs, secrets after a telling word
-or prefix, and names after a title. Each has a canonical form (digits of a phone
-number, lower-cased address, full IPv6 groups), and its surrogate is drawn from a keyed hash of kind,
-canonical form and attempt. It keeps type and layout: letters of the same script and
-case, digits, separators, country codes, private address ranges, the card's first digit
-and checksum validity, IBAN check digits, the gender of a name and its title.
+or prefix, and names after a title. Numbers that a checksum tells from cards and IBANs
+stay. Each entity has a canonical form (digits of a phone number, lower-cased address,
+full IPv6 groups), and its surrogate is drawn from a keyed hash of kind, canonical form
+and attempt. It keeps type and layout: letters of the same script and case, digits,
+separators, country codes, private address ranges, the card's first digit and checksum
+validity, IBAN check digits, the gender of a name and its title.
+
+A name that stands after a title is looked for in the rest of its document too, as a
+whole word with a capital: "Mr John Smith met Smith" gives one surrogate for both. A
+given name's gender is that of its titles in the document, else that of a list of common
+names, else neutral; names of different gender are different entities.
 
 Collision checks: an entity's surrogate may be neither another entity's surrogate nor
 any real entity of its kind in the corpus. All first choices are compared in one grouped
 pass; losers draw again until none is left. So different entities stay different, and
-equal ones, in any layout, get one surrogate everywhere.
+equal ones, in any layout, get one surrogate everywhere. From attempt ``WIDEN`` on a
+private address may leave its range for 10.0.0.0/8, and from ``GROW`` on every kind
+grows by one character an attempt (an IPv4 address by the digits of a port), so there is
+room for any number of entities and the rounds end, even if a whole range is in use.
 
 Only entities that needed another attempt are looked up when texts are rewritten. They
 are broadcast up to ``LOOKUP_ROWS`` and joined by document beyond that.
 
 Defined results: null texts stay null, texts without entities stay as they are. Rows and
-columns stay; repeated rows change alike; a null id is allowed.
+columns stay (with ``marks``, columns named n_entities or kinds are replaced); repeated
+rows change alike; a null id is allowed.
 """
 
 from __future__ import annotations
@@ -28,16 +38,18 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import map_batches, materialize, narrow
+from siftline.llm.common import free_name, map_batches, materialize, narrow, release, slices
 
 LOOKUP_ROWS = 200_000
-#: From this attempt on a surrogate grows by one character an attempt, so there is always room.
-GROW = 6
+#: From these attempts on a private address may leave its range, and a surrogate grows by one
+#: character an attempt, so there is always room.
+WIDEN, GROW = 3, 6
 
 # Name lists by script, and given names also by gender.
 GIVEN = {
@@ -57,7 +69,13 @@ TITLES = {
     "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme госпожа".split(),
     "n": "Dr Prof Professor доктор".split(),
 }
+#: Common given names that are no surrogates, for the gender of names whose title tells none.
+COMMON = {
+    "m": "Alan Andrew Anthony Brian Charles Daniel Edward Frank George Henry Jack James Jean Johann John Joseph José Kevin Mark Michael Peter Pierre Richard Robert Stephen William".split(),
+    "f": "Alice Barbara Caroline Catherine Charlotte Deborah Elizabeth Emily Hannah Isabel Jane Jennifer Karen Linda Lisa Margaret Marie Mary Nancy Patricia Rachel Ruth Sarah Susan Ursula".split(),
+}
 GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+KNOWN = {n.lower(): g for (_, g), names in GIVEN.items() if g != "n" for n in names} | {n.lower(): g for g, names in COMMON.items() for n in names}
 SECRET_WORDS = "token api_key apikey api-key secret password passwd access_key private_key client_secret auth_token"
 
 NAME = r"[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
@@ -110,6 +128,55 @@ def is_ipv6(text: str, a: int, b: int) -> bool:
     return value > 0 and not (text[max(0, a - 1) : a] == ":" and re.search(rf"(?<!\w){H}:$", text[max(0, a - 6) : a]))
 
 
+def valid_iban(canon: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in canon[4:] + canon[:4])) % 97 == 1
+
+
+def holds(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether what a pattern found is such an entity, by its values and checksums."""
+    found = text[a:b]
+    if kind == "secret":
+        return any(map(str.isalnum, found))  # else a mask
+    if kind == "ipv6":
+        return is_ipv6(text, a, b)
+    if kind == "ipv4":
+        return all(int(x) <= 255 for x in found.split("."))
+    if kind == "phone":
+        return len(digits(found)) >= 8
+    if kind == "card":
+        return luhn(digits(found))
+    return kind != "iban" or valid_iban(found.replace(" ", ""))
+
+
+def people(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after a title, and the same names in the rest of the text."""
+    titled = list(PERSON.finditer(text))
+    if not titled:
+        return
+    given: dict[str, list[str]] = {}
+    family: set[str] = set()
+    for m in titled:
+        if m["b"]:
+            given.setdefault(m["a"].lower(), []).append(GENDER[m["t"]])
+        family.add((m["b"] or m["a"]).lower())
+
+    def given_kind(name: str, own: str = "n") -> str:
+        told = [g for g in (own, *given[name], KNOWN.get(name, "n")) if g != "n"]
+        return f"given:{script_of(name)}:{told[0] if told else 'n'}"
+
+    for m in titled:
+        for g in "ab":
+            if m[g]:
+                name = m[g].lower()
+                yield *m.span(g), given_kind(name, GENDER[m["t"]]) if g == "a" and m["b"] else f"surname:{script_of(name)}", name
+    forms = {f for n in family | given.keys() for f in (n.title(), n.upper())} | {m[g] for m in titled for g in "ab" if m[g]}
+    bare = re.compile(r"(?<![\w@-])(?:" + "|".join(re.escape(f) for f in sorted(forms, key=len, reverse=True)) + r")(?![\w@-])")
+    words = [(m.start(), m.end(), m[0].lower()) for m in bare.finditer(text)]
+    for (a, b, name), after in zip(words, [*words[1:], None]):
+        first = name in given and (name not in family or after is not None and after[0] == b + 1 and after[2] in family)
+        yield a, b, given_kind(name) if first else f"surname:{script_of(name)}", name
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, canonical form) that don't overlap, in order."""
     spans: list[tuple[int, int, str, str]] = []
@@ -122,24 +189,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(m.lastgroup or 0)
-            if kind == "secret" and not any(map(str.isalnum, text[a:b])):  # a mask
-                continue
-            if kind == "ipv6" and not is_ipv6(text, a, b):
-                continue
-            if kind == "ipv4" and any(int(x) > 255 for x in text[a:b].split(".")):
-                continue
-            if kind == "phone" and len(digits(text[a:b])) < 8:
-                continue
-            spans.append((a, b, kind, canonical(kind, text[a:b])))
-    for m in PERSON.finditer(text):
-        gender, names = GENDER[m["t"]], [g for g in "ab" if m[g]]
-        for g in names:
-            kind = f"given:{script_of(m[g])}:{gender}" if g == "a" and len(names) == 2 else f"surname:{script_of(m[g])}"
-            spans.append((*m.span(g), kind, canonical(kind, m[g])))
+            if holds(kind, text, a, b):
+                spans.append((a, b, kind, canonical(kind, text[a:b])))
+    spans += people(text)
     if len(spans) < 2:
         return spans
     kept, end = [], 0
-    order = {s: i for i, s in enumerate(spans)}
+    order = {s: i for i, s in reversed([*enumerate(spans)])}
     for s in sorted(spans, key=lambda s: (s[0], order[s])):
         if s[0] >= end:
             kept.append(s)
@@ -199,20 +255,21 @@ def surrogate(secret: bytes, kind: str, canon: str, attempt: int) -> str:
         return f"{draw.like(local + 'a' * more)}@{Draw(secret, 'domain', domain).like(head)}.{tld}"
     if kind == "phone":
         keep = max(0, len(canon) - 10)
-        rest = draw.like(canon[keep:])
+        rest = draw.like(canon[keep:] + "0" * more)
         return canon[:keep] + str(2 + int(rest[0]) % 8) + rest[1:]
     if kind == "card":
-        out = canon[0] + draw.like(canon[1:-1])
+        out = canon[0] + draw.like(canon[1:-1] + "0" * more)
         ends = [c for c in "0123456789" if luhn(out + c) == luhn(canon)]
         return out + ends[draw.below(len(ends))]
     if kind == "ssn":
-        return f"9{draw.like(canon[1:])}"
+        return f"9{draw.like(canon[1:] + '0' * more)}"
     if kind == "ipv4":
         a, b, _, _ = map(int, canon.split("."))
         keep = 1 if a in (10, 127) else 2 if (a, b) == (192, 168) or a == 172 and 16 <= b < 32 else 0
         first = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         own = [str(first[draw.below(len(first))])] + [str(1 + draw.below(254)) for _ in range(3)]
-        return ".".join(canon.split(".")[:keep] + own[keep:])
+        head = canon.split(".")[:keep] if attempt < WIDEN or not keep else ["10"]
+        return ".".join(head + own[len(head) :]) + (":" + str(1 + draw.below(9)) + draw.like("0" * (more - 1)) if more else "")
     if kind == "ipv6":  # zero groups stay, so every layout of the address fits, until that leaves no room
         old = [int(g, 16) for g in canon.split(":")]
         fixed = {0} if old[0] >> 6 == 0x3FA or old[0] >> 9 == 0x7E or old[0] >> 8 == 0xFF else {5} if old[:6] == [0] * 5 + [0xFFFF] else set()
@@ -221,7 +278,7 @@ def surrogate(secret: bytes, kind: str, canon: str, attempt: int) -> str:
         low = [16 ** (n - 1) for n in size]
         return ":".join(f"{g if i in fixed else low[i] + draw.below(16 ** size[i] - low[i]):04x}" for i, g in enumerate(old))
     if kind == "iban":
-        body = draw.like(canon[4:])
+        body = draw.like(canon[4:] + "0" * more)
         number = int("".join(str(int(c, 36)) for c in body + canon[:2] + "00"))
         return f"{canon[:2]}{98 - number % 97:02d}{body}"
     if kind.startswith(("given", "surname")):
@@ -254,10 +311,10 @@ def rendered(kind: str, seen: str, canon: str) -> str:
     """A surrogate's canonical form in the layout and case of what it replaces."""
     if kind in ("phone", "card", "ssn"):
         it = iter(canon)
-        return "".join(next(it) if c.isdecimal() else c for c in seen)
+        return "".join(next(it) if c.isdecimal() else c for c in seen) + "".join(it)
     if kind == "iban":
         it = iter(canon)
-        return "".join(c if c == " " else next(it) for c in seen)
+        return "".join(c if c == " " else next(it) for c in seen) + "".join(it)
     if kind == "ipv6":
         return ipv6_like(seen, canon)
     if kind == "email" or kind.startswith(("given", "surname")):
@@ -301,23 +358,27 @@ def assign(found: DataFrame, secret: bytes) -> DataFrame:
 
     found = materialize(found)
     real = found.select("kind", F.col("canon").alias("value"), F.lit(0).alias("rank"), F.lit("").alias("owner"))
-    settled, pending, attempt = None, found, 0
+    claimed, pending, attempt = [], found, 0
     while True:
         new = materialize(drawn(pending, attempt))
         claims = real.unionByName(new.select("kind", "value", F.lit(2).alias("rank"), F.col("canon").alias("owner")))
-        if settled is not None:
-            claims = claims.unionByName(settled.select("kind", "value", F.lit(1).alias("rank"), F.col("canon").alias("owner")))
+        for won in claimed:
+            claims = claims.unionByName(won.select("kind", "value", F.lit(1).alias("rank"), F.col("canon").alias("owner")))
         winner = claims.groupBy("kind", "value").agg(F.min(F.struct("rank", "owner")).alias("w")).where("w.rank = 2").select("kind", "value", F.col("w.owner").alias("canon"))
-        won = new.join(winner, ["kind", "value", "canon"], "left_semi").select("kind", "canon", "attempt", "value")
-        settled = materialize(won if settled is None else settled.unionByName(won))
-        pending = materialize(new.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon"))
-        if pending.isEmpty():
-            return settled
-        attempt += 1
+        claimed.append(materialize(new.join(winner, ["kind", "value", "canon"], "left_semi").select("kind", "canon", "attempt", "value")))
+        left = materialize(new.join(claimed[-1], ["kind", "canon"], "left_anti").select("kind", "canon"))
+        release(found.sparkSession, new)
+        if attempt:
+            release(found.sparkSession, pending)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, claimed)
+        pending, attempt = left, attempt + 1
 
 
 def anonymize(docs: DataFrame, secret: bytes, text: str = "text", marks: bool = False, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """The documents with entities replaced; with ``marks`` also n_entities and kinds."""
+    if marks:
+        docs = docs.drop("n_entities", "kinds")
     again = assign(entities(docs, text), secret).where("attempt > 0").select("kind", "canon", "attempt")
     n = again.count()
     names, spark = docs.columns, docs.sparkSession
@@ -325,7 +386,7 @@ def anonymize(docs: DataFrame, secret: bytes, text: str = "text", marks: bool =
     if n <= lookup_rows:
         shared = spark.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in again.collect()})
     else:
-        place, own = "__place", "__attempts"
+        place, digest, own = (free_name(docs, x) for x in ("place", "digest", "attempts"))
 
         def make():
             def f(text):
@@ -335,16 +396,16 @@ def anonymize(docs: DataFrame, secret: bytes, text: str = "text", marks: bool =
             return f
 
         per_text = map_batches(narrow(docs, text=text), make, "text string, kind string, canon string")
-        per_text = per_text.select(F.xxhash64("text").alias(place), F.sha2("text", 256).alias("h"), "kind", "canon").distinct()
-        per_text = per_text.join(again, ["kind", "canon"]).groupBy(place, "h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(own))
-        rows = docs.withColumns({place: F.xxhash64(text), "__h": F.sha2(F.col(text), 256)}).join(per_text.withColumnRenamed("h", "__h"), [place, "__h"], "left").select(*names, own)
+        per_text = per_text.select(F.xxhash64("text").alias(place), F.sha2("text", 256).alias(digest), "kind", "canon").distinct()
+        per_text = per_text.join(again, ["kind", "canon"]).groupBy(place, digest).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(own))
+        rows = docs.withColumns({place: F.xxhash64(text), digest: F.sha2(F.col(text), 256)}).join(per_text, [place, digest], "left").select(*names, own)
     at = names.index(text)
     schema = docs.schema
     if marks:
         schema = docs.withColumns({"n_entities": F.lit(0).cast("long"), "kinds": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
             if shared is None:
                 maps = [{(x["kind"], x["canon"]): x["attempt"] for x in m or ()} for m in batch.column(len(names)).to_pylist()]

@@ -1,5 +1,6 @@
 """PII surrogates, the registered queries against their SQL, and the pipeline end to end."""
 
+import random
 import re
 
 import pytest
@@ -88,6 +89,87 @@ def test_collisions_are_resolved(spark):
     assert a == b and len(set(a.values())) == 200
 
 
+def by_rounds(found, key):
+    """What ``assign`` should give, with dictionaries."""
+    real, taken, out, attempt = set(found), set(), {}, 0
+    while len(out) < len(real):
+        asked = {}
+        for kind, canon in sorted(real - out.keys()):
+            asked.setdefault((kind, surrogates.surrogate(key, kind, canon, attempt)), canon)  # the smallest asks first
+        for value, canon in asked.items():
+            if value not in real and value not in taken:
+                taken.add(value)
+                out[value[0], canon] = (attempt, value[1])
+        attempt += 1
+    return out
+
+
+def test_surrogates_equal_brute_force(spark):
+    r = random.Random(3)
+    family = "Adams Baker Young Weber Jones Fischer Иванов".split()
+    make = [
+        lambda: f"{r.choice(['Mr', 'Mrs', 'Dr'])} {r.choice(['John', 'Kim', 'Anna'])} {r.choice(family)}", lambda: f"Ms {r.choice(family)}", lambda: r.choice(family),
+        lambda: f"192.168.{r.randint(0, 1)}.{r.randint(1, 9)}", lambda: f"+49 30 {r.randint(10, 30)} 5555", lambda: f"u{r.randint(1, 20)}@x.com", lambda: f"(212) 555-{r.randint(1000, 1020)}", lambda: "token=abcd" + r.choice("xyz") * 8, lambda: f"{r.randint(100, 104)}-22-3333",
+    ]
+    rows = [(i, " and ".join(r.choice(make)() for _ in range(r.randint(0, 6)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {s[2:] for _, t in rows for s in surrogates.find(t)}
+    want = by_rounds(found, KEY)
+    got = {(x.kind, x.canon): (x.attempt, x.value) for x in surrogates.assign(surrogates.entities(df), KEY).collect()}
+    assert got == want and len({(k, v) for (k, _), (_, v) in want.items()}) == len(found)
+    assert not {(k, v) for (k, _), (_, v) in want.items()} & found
+    attempts = {e: a for e, (a, _) in want.items()}
+    texts = {x.doc_id: x.text for x in surrogates.anonymize(df, KEY).collect()}
+    assert texts == {i: replaced(t, attempts) for i, t in rows}
+    for i, t in rows:  # what was found is replaced by one value for each entity, the rest stays
+        at = 0
+        for a, b, kind, canon in surrogates.find(t):
+            new = surrogates.rendered(kind, t[a:b], want[kind, canon][1])
+            assert texts[i].startswith(t[at:a] + new) and surrogates.canonical(kind, new) == want[kind, canon][1]
+            texts[i], at = texts[i][a - at + len(new) :], b
+        assert texts[i] == t[at:]
+
+
+def test_a_range_in_full_use_ends(spark):
+    own = spark.range(1 << 16).select(F.lit("ipv4").alias("kind"), F.concat(F.lit("192.168."), F.shiftright("id", 8).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("canon"))
+    out = surrogates.assign(own, KEY)
+    assert out.count() == 1 << 16 == out.select("value").distinct().count()
+    assert out.join(own.select(F.col("canon").alias("value")), "value").count() == 0
+    assert out.where(~F.col("value").rlike(r"^(10|192\.168)\.")).count() == 0
+
+
+@pytest.mark.parametrize("kind, canon", [("ipv4", "10.1.2.3"), ("ssn", "123456789"), ("phone", "4930123456"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("email", "a@b.cc"), ("secret", "abcdefgh"), ("surname:latin", "smith")])
+def test_every_kind_has_room(kind, canon):
+    base = surrogates.GROW
+    for attempt in range(base + 1, base + 4):
+        short, long = (surrogates.surrogate(KEY, kind, canon, a) for a in (0, attempt))
+        assert (":" in long if kind == "ipv4" else len(long) > len(short)) and len({surrogates.surrogate(KEY, kind, canon, attempt + i) for i in range(8)}) == 8
+        assert surrogates.canonical(kind, surrogates.rendered(kind, canon, long)) == long
+
+
+def test_names_in_the_rest_of_a_document():
+    out = replaced("Mr John Smith met Smith. Mrs Smith and John Smith; SMITH, smith, Smithers. Dr John Smith")
+    m = re.fullmatch(r"Mr (\w+) (\w+) met (\w+)\. Mrs (\w+) and (\w+) (\w+); ([A-Z]+), smith, Smithers\. Dr (\w+) (\w+)", out)
+    assert m and m[1] == m[5] == m[8] and {m[2], m[3], m[4], m[6], m[7].title(), m[9]} == {m[2]}
+    assert m[1] in surrogates.GIVEN["latin", "m"] and "John" not in out
+    assert replaced("Smith met John.") == "Smith met John."
+
+
+def test_numbers_that_fail_their_checksum_stay():
+    for clean in ("order 4111111111111112 of today", "DE89 3704 0044 0532 0130 01"):
+        assert replaced(clean) == clean
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"Mr Name{chr(97 + i % 26)}{chr(97 + i // 26)} of 10.0.0.{i}", 1, "k", "p", 2, "d") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_entities int, kinds string, place string, attempts int, Digest string")
+    a = surrogates.anonymize(df, KEY, marks=True)
+    b = surrogates.anonymize(df, KEY, marks=True, lookup_rows=0)
+    assert a.columns == ["doc_id", "text", "place", "attempts", "Digest", "n_entities", "kinds"] == b.columns
+    assert sorted(a.collect()) == sorted(b.collect()) and {(x.n_entities, x.place, x.attempts) for x in a.collect()} == {(2, "p", 2)}
+    assert surrogates.anonymize(df, KEY).columns == df.columns
+
+
 def test_surrogate_edges(edge, empty):
     out = surrogates.anonymize(edge, KEY)
     assert out.columns == edge.columns
