@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import components, map_batches, materialize, narrow
+from siftline.llm.common import components, integer_key, map_batches, materialize, narrow, release
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Pairs of a query and a tree node that a search holds at once.
@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, text: str
 #: probability 0.36^20 = 1.3e-9. Minima whose bytes prune (the pairs are of the same ones), and
 #: the share of equal bytes that prunes: at 0.8, fewer are equal with probability 2e-10.
 BANDS, SKETCH, PRUNE = 20, 64, 0.45
-#: Members of a candidate component that one task compares; larger ones are compared in blocks.
-BLOCK = 8192
+#: Members of a candidate group that one task compares with the group's first member, and those of
+#: a block where groups that stay apart are compared.
+STAR, BLOCK = 512, 1024
 
 _SEEDS = np.random.default_rng(11)
 _MULT = _SEEDS.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -242,7 +243,7 @@ def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
 
         return f
 
-    rows = narrow(docs, key=docs[key].cast("bigint"), text=text)
+    rows = narrow(docs, key=key, text=text)
     return map_batches(rows, make, "key bigint, words binary, lows array<bigint>, sketch binary")
 
 
@@ -285,7 +286,10 @@ def sketch_links(shards: DataFrame) -> DataFrame:
 
 
 def similar_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from (part, id, sketch, hashes): links verified on whole shingle sets, inside each part."""
+    """(a, b) from (part, id, sketch, hashes): links verified on whole shingle sets, inside each part.
+
+    Rows of one id in a part count once.
+    """
 
     def solve(ids, sketches, sets) -> tuple[list[int], list[int]]:
         sk = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
@@ -326,43 +330,66 @@ def similar_links(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """(part, id) from (a, b): each b with the a's linked to it, by STAR of them at most."""
+    size = links.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
+    dealt = links.join(size, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("chunks"))).alias("part"))
+    return dealt.select("part", F.col("a").alias("id")).unionByName(dealt.select("part", F.col("b").alias("id")).distinct())
+
+
+def cross_parts(near: DataFrame, sure: DataFrame) -> DataFrame:
+    """(part, id): members of candidate groups (node, component) of which ``sure`` links left more than one.
+
+    All members outside the largest of them meet all members, in parts of two blocks; the
+    largest one's own members needn't meet.
+    """
+    own = near.join(sure.select("node", F.col("component").alias("g")), "node", "left").select("node", "component", F.coalesce("g", "node").alias("g"))
+    sizes = own.groupBy("component", "g").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("component").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "g")).alias("top")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    tops = tops.select("component", blocks(F.col("n")).alias("cols"), blocks(F.col("n") - F.col("top.n")).alias("rows"), F.col("top.g").alias("most"))
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    m = own.join(tops, "component").select("node", "component", "cols", "rows", (F.col("g") != F.col("most")).alias("other"), place(1, "cols").alias("col"), place(2, "rows").alias("row"))
+    every = m.select("node", "component", "col", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    other = m.where("other").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "row")
+    return every.unionByName(other).select(F.xxhash64("component", "row", "col").alias("part"), F.col("node").alias("id")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, group): texts linked by a Jaccard similarity of their shingle sets, group = smallest key.
 
     Texts of the same words are one candidate. Candidates are dealt to shards by ``BANDS``
     disjoint pairs of min-hash values (two texts of similarity 0.8 share none with
-    probability 1.3e-9, of 0.9 with 4e-15) and linked there if their sketches are alike. Both are of
-    shingle sets, as the similarity is, so lines that repeat don't matter; whole shingle sets then verify every link. Components of candidates of more
-    than BLOCK members are verified in pairs of blocks, so a task's memory is bounded.
-    Rows with a null key are left out.
+    probability 1.3e-9, of 0.9 with 4e-15) and linked there if their sketches are alike, as a
+    forest of stars. Both are of shingle sets, as the similarity is, so lines that repeat
+    don't matter. Whole shingle sets then verify the stars' links, a bounded part of a star
+    in a task. Where that leaves a candidate group in pieces, all members outside the
+    largest piece are compared with all members, block by block.
+
+    Ids are integers (others raise TypeError). Rows with a null key are left out.
     """
-    sig = materialize(signatures(docs, width, text, key).where("key is not null"))
+    rows = narrow(docs, id=integer_key(docs, key), text=text)
+    sig = materialize(signatures(rows, width, "text", "id").where("key is not null"))
     reps = sig.groupBy("words").agg(F.min(F.struct("key", "lows", "sketch")).alias("r"))
     reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.lows", "r.sketch"))
     pairs = [F.xxhash64(F.lit(i), F.col("lows")[2 * i], F.col("lows")[2 * i + 1]) for i in range(BANDS)]
-    shards = reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "sketch")
-    near = components(sketch_links(shards))
+    links = materialize(sketch_links(reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "sketch")).distinct())
+    near = components(links)
     near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
-    size = near.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # a member of block p meets every block q in the part of the ordered pair
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cut = near.join(size, "component").select("node", "component", blocks.alias("blocks")).withColumn("p", place).withColumn("q", other)
-    cut = cut.select(F.col("node").alias("id"), F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")).alias("part"))
-    asked = cut.join(reps.select("id", "sketch"), "id")
 
     def make():
-        def f(part, id, sketch, text):
-            sets = [np.unique(shingle_hashes(words_of(t), width)).tobytes() for t in text]
-            return {"part": part, "id": id, "sketch": sketch, "hashes": sets}
-
-        return f
-
-    texts = narrow(docs, id=docs[key].cast("bigint"), text=text)
-    members = asked.join(texts, "id").select("part", "id", "sketch", "text")
-    members = map_batches(members, make, "part bigint, id bigint, sketch binary, hashes binary")
-    groups = components(similar_links(members, similarity))
+        return lambda id, sketch, text: {"id": id, "sketch": sketch, "hashes": [np.unique(shingle_hashes(words_of(t), width)).tobytes() for t in text]}
+
+    asked = near.select(F.col("node").alias("id")).join(reps.select("id", "sketch"), "id").join(rows, "id")
+    sets = materialize(map_batches(asked, make, "id bigint, sketch binary, hashes binary"))
+    sure = components(similar_links(stars(links).join(sets, "id"), similarity))
+    more = materialize(cross_parts(near, sure))
+    groups = sure
+    if not more.isEmpty():
+        found = similar_links(more.join(sets, "id"), similarity)
+        groups = components(found.unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    for done in (links, near, sets, more):
+        release(docs.sparkSession, done)
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("component", "id").alias("group"))
     return sig.select("key", "words").join(named, "words").select("key", "group")
 

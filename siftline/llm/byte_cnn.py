@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import map_batches, narrow
+from siftline.llm.common import map_batches, narrow, slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 PER_LANG, WINDOWS, EPOCHS, BATCH, RATE, SEED = 1500, 3, 6, 64, 0.02, 7
@@ -268,14 +268,18 @@ def held_out(key: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, model: bytes | None, min_score: float = 0.3, langs: frozenset[str] | None = None, text: str = "text") -> DataFrame:
-    """The documents whose predicted language is known (of ``langs``, if given) and scored; rows and columns stay as they are."""
+    """The documents whose predicted language is known (of ``langs``, if given) and scored; rows and columns stay as they are.
+
+    Without a model (no labelled text to learn from) nothing can be told, and all documents stay.
+    """
+    if model is None:
+        return docs
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        net = ByteCNN.load(shared.value) if shared.value else None
-        classify = classifier(net)
-        for batch in batches:
+        classify = classifier(ByteCNN.load(shared.value))
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found, scores = classify(batch.column(at).to_pylist())
             yield batch.filter(pa.array([y != "und" and s >= min_score and (langs is None or y in langs) for y, s in zip(found, scores)], pa.bool_()))
 

@@ -94,6 +94,8 @@ def test_phrases_do_not_depend_on_chunks(monkeypatch):
 def test_ids_must_be_integers(spark):
     with pytest.raises(TypeError, match="doc_id"):
         suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="doc_id"):
+        bk_tree.keep_first(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 @pytest.mark.parametrize("radius", [0, 2, 14])
@@ -140,9 +142,11 @@ def test_simhash_components(spark):
     assert got == {i: (f"{fp[i]:016x}", want[i]) for i in texts}
 
 
-@pytest.mark.parametrize("block", [8192, 3])
-def test_near_groups_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, prune", [(1024, bk_tree.PRUNE), (3, 0.1)])  # the latter links what is not alike, so groups fall apart
+def test_near_groups_equal_brute_force(spark, monkeypatch, block, prune):
     monkeypatch.setattr(bk_tree, "BLOCK", block)
+    monkeypatch.setattr(bk_tree, "STAR", block)
+    monkeypatch.setattr(bk_tree, "PRUNE", prune)
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
     rows = []
