@@ -8,8 +8,11 @@ over the sample rate; every audio frame's offset is kept for seeking.
 
 ``wrap`` stores bytes losslessly: one 240-byte Layer III frame (80 kbit/s, 48 kHz, mono,
 with checksum) for each 192 bytes, which stand in the ancillary part of the frame, after
-side information that claims no audio bits. An Info table with seek points, an ID3v2
-and an ID3v1 tag surround the frames. ``unwrap`` returns the bytes.
+side information that claims no audio bits. The frame's own checksum covers its header
+and side information only, so a CRC-32 of the 192 bytes follows them. An Info table with
+seek points, an ID3v2 and an ID3v1 tag surround the frames. ``unwrap`` returns the bytes
+and raises ValueError where they don't fit their CRC-32. ``feature`` tells what the medium
+says, and statistics of the bytes read back as signed 8-bit samples.
 
 Defined results: a null or empty medium has no frames, no rate and duration 0. Null and
 empty texts are stored as one unit of spaces. Equal rows get equal values; extra
@@ -90,6 +93,12 @@ def seek_table(frames: int, total: int, first: int) -> bytes:
     return np.minimum(255, at * 256 // max(total, 1)).astype(np.uint8).tobytes()
 
 
+def checks(payload: bytes) -> np.ndarray:
+    """The CRC-32 of each unit as four bytes."""
+    raw = memoryview(payload)
+    return np.array([zlib.crc32(raw[i : i + UNIT]) for i in range(0, len(raw), UNIT)], ">u4").view(np.uint8).reshape(-1, 4)
+
+
 def wrap(payload: bytes) -> bytes:
     """An MPEG audio file that carries the payload, a positive multiple of 192 bytes."""
     units = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
@@ -99,6 +108,7 @@ def wrap(payload: bytes) -> bytes:
     check = int(crc16(np.concatenate((head[2:], np.zeros(SIDE, np.uint8)))[None])[0])
     frames[:, 4], frames[:, 5] = check >> 8, check & 255
     frames[1:, DATA : DATA + UNIT] = units
+    frames[1:, DATA + UNIT : DATA + UNIT + 4] = checks(payload)
     audio = frames.size
     table = b"Info" + (7).to_bytes(4) + len(units).to_bytes(4) + audio.to_bytes(4) + seek_table(len(units), audio, FRAME)
     frames[0, DATA : DATA + len(table)] = np.frombuffer(table, np.uint8)
@@ -216,7 +226,11 @@ def parse(data: bytes | None) -> dict:
 def unwrap(data: bytes, found: dict) -> bytes:
     """The payload of a file made by ``wrap``, from its frame offsets."""
     d = np.frombuffer(data, np.uint8)
-    return d[found["offsets"][:, None] + np.arange(DATA, DATA + UNIT)].tobytes()
+    stored = d[found["offsets"][:, None] + np.arange(DATA, DATA + UNIT + 4)]
+    payload = stored[:, :UNIT].tobytes()
+    if wrong := np.flatnonzero((checks(payload) != stored[:, UNIT:]).any(1)).tolist():
+        raise ValueError(f"bytes of frame {wrong[0]} don't fit their CRC-32")
+    return payload
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -225,10 +239,16 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT)
 
 
-def feature(found: dict) -> str:
-    """What the medium says, without its bytes: equal media, equal strings."""
+def sound(payload: bytes) -> dict[str, int]:
+    """Statistics of bytes as samples around 128: peak, thousandths of the mean square, sign changes, distinct values."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    return {"peak": int(np.abs(x).max()), "power": int((x * x).sum()) * 1000 // len(x), "crossings": int(((x[1:] < 0) != (x[:-1] < 0)).sum()), "levels": len(np.unique(x))}
+
+
+def feature(found: dict, payload: bytes) -> str:
+    """What the medium says, and its samples' statistics: equal media, equal strings."""
     o = found["offsets"]
-    told = {k: found[k] for k in ("frames", "rate", "samples", "micros", "crc_frames", "crc_ok", "resyncs", "skipped", "tag_bytes")}
+    told = {k: found[k] for k in ("frames", "rate", "samples", "micros", "crc_frames", "crc_ok", "resyncs", "skipped", "tag_bytes")} | sound(payload)
     told |= {"table": found["table"].get("kind"), "table_frames": found["table"].get("frames"), "seek": [int(o[len(o) * i // 4]) for i in range(4)] if len(o) else []}
     return json.dumps(told, sort_keys=True, separators=(",", ":"))
 
@@ -271,7 +291,7 @@ def media_digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 media = wrap(payload)
                 found = parse(media)
                 back = unwrap(media, found)
-                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found))
+                row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found, back))
                 for name, value in zip(out, row):
                     out[name].append(value)
             return {"key": key} | out
