@@ -28,42 +28,20 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import map_batches, narrow, slices
 
-WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
+WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANG, WINDOWS, EPOCHS, BATCH, RATE, SEED = 1500, 3, 6, 64, 0.02, 7
 #: Windows of one prediction batch.
 CHUNK = 64
 
-#: Bytes fold to fewer than 128 classes: ASCII letters without case, digits as one, each of the
-#: bytes from 0x80 on by its low bits, with lead and continuation bytes kept apart.
-CLASSES = 128
-
-
-def byte_classes() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        if 65 <= (b & ~32) <= 90 and b < 128:
-            out[b] = 1 + (b & 31)
-        elif 48 <= b <= 57:
-            out[b] = 28
-        elif b in (32, 9, 10, 13):
-            out[b] = 29
-        elif b >= 0xC0:
-            out[b] = 64 + (b & 63)
-        elif b >= 0x80:
-            out[b] = 32 + (b & 31)
-        else:
-            out[b] = 30
-    return out
-
-
-FOLD = byte_classes()
+#: Every byte value is a class of its own; byte 0 pads the last window.
+CLASSES = 256
 
 
 def windows_of(raw: bytes) -> np.ndarray:
-    """All consecutive windows of a text; the last one is padded with class 0."""
+    """All consecutive windows of a text; the last one is padded with byte 0."""
     n = max(1, -(-len(raw) // WINDOW))
     out = np.zeros(n * WINDOW, np.uint8)
-    out[: len(raw)] = FOLD[np.frombuffer(raw, np.uint8)]
+    out[: len(raw)] = np.frombuffer(raw, np.uint8)
     return out.reshape(n, WINDOW)
 
 
