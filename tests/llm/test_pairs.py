@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftline.llm import bk_tree, containment, link_graph, suffix_dedup
 from siftline.llm.common import components
@@ -259,3 +261,28 @@ def test_distrust_reaches_far_and_faint_hosts(spark):
     edges = spark.createDataFrame([(f"a{i}", "bad.com", 1) for i in range(2000)], "src string, dst string, n long")
     faint = link_graph.spread(edges, seeds).where("host != 'bad.com'")
     assert faint.count() == 2000 and faint.where("distrust > 0 and distrust < 1e-12").count() == 2000
+
+
+def test_scores_equal_a_dense_matrix(spark):
+    """Cyclic links between many hosts, one of which half of all pages link to."""
+    r = random.Random(12)
+    hosts = [f"h{i}.net" for i in range(30)] + ["bad.com", "good.fr.com", "hot.net"]
+    rows = []
+    for i in range(300):
+        links = [r.choice(hosts) for _ in range(r.randint(0, 4))] + ["hot.net"] * (i % 2)
+        host = r.choice(hosts)
+        path = {"bad.com": "/de/x", "good.fr.com": "/fr/y"}.get(host, "/")
+        rows.append((i, f"https://{host}{path}", "".join(f"<a href='https://{x}/'>" for x in links)))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    pages = df.select("html", link_graph.url_host(F.col("url")).alias("host"))
+    seeds = spark.createDataFrame([("bad.com", 0.0, 0.7), ("h3.net", 0.0, 0.3), ("good.fr.com", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {x.host: (x.trust, x.distrust) for x in link_graph.spread(link_graph.host_edges(pages), seeds, tolerance=1e-4).collect()}
+    n = np.zeros((len(hosts), len(hosts)))
+    for _, url, html in rows:
+        for x in re.findall(r"https://([^/]+)/'", html):
+            a, b = hosts.index(url.split("/")[2]), hosts.index(x)
+            n[a, b] += a != b
+    for k, m, s in ((0, n, {"good.fr.com": 1.0}), (1, n.T, {"bad.com": 0.7, "h3.net": 0.3})):
+        w = m / np.maximum(m.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * w.T, 0.15 * np.array([s.get(h, 0.0) for h in hosts]))
+        assert [got.get(h, (0, 0))[k] for h in hosts] == pytest.approx(want.tolist(), rel=5e-3, abs=1e-12)
