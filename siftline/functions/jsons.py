@@ -1,15 +1,14 @@
-"""Embedded JSON (P1-P3, P34, F6-F9, J13, Y11-Y12, Y26-Y28): recursive values, as plain functions and Arrow UDFs."""
+"""Embedded JSON (P1-P3, P34, P39, J13, Y27-Y28): recursive values, as plain functions and Arrow UDFs."""
 
 from __future__ import annotations
 
 import json
 import re
-from decimal import Decimal, InvalidOperation
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, MapType, StringType, StructField, StructType
 
 OPENS = re.compile(r"\s*[\[{]")
 
@@ -109,54 +108,6 @@ def calls_of(message: dict, fallback: bool = False) -> list[dict]:
     return []
 
 
-def type_error(value: Any, spec: dict) -> str | None:
-    """the type or enum that a value misses; a boolean is no number."""
-    kind = spec.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fine = {
-        "string": isinstance(value, str), "integer": isinstance(value, int) and number, "number": number, "boolean": isinstance(value, bool),
-        "array": isinstance(value, list) and all(isinstance(x, str) for x in value),
-    }.get(kind, False)
-    if not fine:
-        return f"type_{kind}"
-    return "enum" if "enum" in spec and value not in spec["enum"] else None
-
-
-def call_error(call: Any, tools: list[dict]) -> str | None:
-    """the first rule that a call breaks."""
-    if not isinstance(call, dict) or set(call) != {"name", "arguments"}:
-        return "call_shape"
-    spec = {t["name"]: t.get("parameters", {}) for t in tools}.get(call["name"])
-    if spec is None:
-        return "undeclared_function"
-    args, known = call["arguments"], spec.get("properties", {})
-    if not isinstance(args, dict):
-        return "arguments_not_object"
-    if args.keys() - known.keys():
-        return "unknown_argument"
-    if set(spec.get("required", ())) - args.keys():
-        return "missing_required"
-    return next((f"{e}:{k}" for k, v in args.items() if (e := type_error(v, known[k]))), None)
-
-
-def turn_of(text: str, tools: list[dict]) -> tuple[list[dict] | None, str | None]:
-    """The calls of a model turn, or the reason it is refused."""
-    fenced = re.fullmatch(r"\s*```(?:json)?\s*\n(.*?)\n?```\s*", text, re.S)
-    if not fenced and "```" in text:
-        return None, "json_fence"
-    try:
-        value = json.loads(fenced[1] if fenced else text)
-    except ValueError:
-        return None, "json_parse"
-    calls = value.get("calls") if isinstance(value, dict) and set(value) == {"calls"} else None
-    if not isinstance(calls, list) or not calls:
-        return None, "turn_shape"
-    for c in calls:
-        if reason := call_error(c, tools):
-            return None, reason
-    return (calls, None) if len({canonical(c) for c in calls}) == len(calls) else (None, "duplicate_call")
-
-
 def scalar_equal(gold: Any, pred: Any) -> bool:
     """Booleans by text, numbers within 1e-9, null aliases, else trimmed text."""
     if isinstance(gold, bool) or isinstance(pred, bool):
@@ -202,58 +153,6 @@ def calls_match(gold: list[dict], pred: list[dict]) -> tuple[bool, bool]:
     return names, all(place(i, set()) for i in range(len(gold)))
 
 
-def aligned(raws: list[dict], expected: list[dict]) -> list[dict] | None:
-    """The calls in the expected order if they are the same multiset, else None."""
-    pool: dict[str, list[dict]] = {}
-    for c in raws:
-        pool.setdefault(canonical(c), []).append(c)
-    out = [pool[k].pop() if pool.get(k := canonical(e)) else None for e in expected]
-    return out if len(raws) == len(expected) and None not in out else None
-
-
-def decimal_of(text: str) -> Decimal | None:
-    try:
-        return Decimal(text.replace(",", ""))
-    except InvalidOperation:
-        return None
-
-
-NUMBER = re.compile(r"(?<![\w.-])-?\d[\d,]*(?:\.\d+)?(?![\w])")
-QUOTED = re.compile(r"\"([^\"]*)\"|'([^']*)'|「([^」]*)」")
-
-
-def number_present(text: str, value: Any) -> bool:
-    """Any number of the text equals the value as a decimal."""
-    want = decimal_of(str(value))
-    return want is not None and any(decimal_of(m) == want for m in NUMBER.findall(text))
-
-
-def value_missing(text: str, value: Any) -> bool:
-    """a number without an equal in the text, or another literal that isn't in it."""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return not number_present(text, value)
-    return (value if isinstance(value, str) else canonical(value)) not in text
-
-
-def request_failures(text: str | None, values: list, names: list[str], known: list, descriptions: list[str | None], stop: frozenset[str] = frozenset()) -> list[str]:
-    """All gates a request fails; a blank request fails "request" alone."""
-    if not text or not text.strip():
-        return ["request"]
-    out = []
-    if any(not (d or "").strip() for d in descriptions):
-        out.append("schema_semantics")
-    if any(value_missing(text, v) for v in values):
-        out.append("typed_values")
-    flat = re.sub(r"[_\-.\s]", "", text.lower())
-    if any(len(n) >= 4 and (n in text or ((p := re.sub(r"[_\-.\s]", "", n.lower())) in flat and p not in stop)) for n in names):
-        out.append("schema_leak")
-    literals = {str(k) if not isinstance(k, str) else k for k in known}
-    outside = QUOTED.sub(lambda m: " " * len(m[0]), text)
-    invented = [q for m in QUOTED.finditer(text) if (q := next(g for g in m.groups() if g is not None)) not in literals]
-    numbers = [n for n in NUMBER.findall(outside) if not any(decimal_of(n) == decimal_of(x) for x in literals if decimal_of(x) is not None)]
-    return out + (["invention"] if invented or numbers else [])
-
-
 @F.pandas_udf(StringType())
 def canonical_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else canonical(embedded(t)))
@@ -267,3 +166,10 @@ def leaves_udf(s: pd.Series) -> pd.Series:
 @F.pandas_udf(MapType(StringType(), LongType()))
 def signals_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: {} if t is None else signals(t))
+
+
+@F.pandas_udf(StructType([StructField("name_match", BooleanType()), StructField("arg_match", BooleanType())]))
+def match_udf(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    """J13 of JSON arrays of calls."""
+    rows = [calls_match([call_of(c) for c in decoded(g, list)], [call_of(c) for c in decoded(p, list)]) for g, p in zip(gold, pred)]
+    return pd.DataFrame(rows, columns=["name_match", "arg_match"])

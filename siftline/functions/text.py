@@ -173,17 +173,6 @@ def count_of(text: Column, literal: str) -> Column:
 TAGS = ("<think>", "</think>", "<solution>", "</solution>")
 
 
-def thought_solution(text: Column) -> Column:
-    """P20: struct(thought, solution, error): each tag exactly once, in order, with a thought."""
-    once = F.lit(True)
-    for tag in TAGS:
-        once = once & (count_of(text, tag) == 1)
-    thought = F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1)
-    solution = F.regexp_extract(text, r"(?s)<solution>(.*?)</solution>", 1)
-    good = once & (F.length(F.trim(thought)) > 0)
-    return F.struct(F.when(good, thought).alias("thought"), F.when(good, solution).alias("solution"), F.when(~good, "format").alias("error"))
-
-
 def tag_flags(text: Column) -> Column:
     """Counts of the four tags and of search markers, and whether each tag stands exactly once."""
     counts = [count_of(text, t).alias(n) for t, n in zip(TAGS, ("think_open", "think_close", "solution_open", "solution_close"))]

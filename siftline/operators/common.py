@@ -10,8 +10,15 @@ BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if a count of at most ``rows + 1`` rows proves it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The frame with a broadcast hint if a count of at most ``rows + 1`` rows proves it small.
+
+    The counted rows are kept, so a small side is computed once.
+    """
+    head = df.limit(rows + 1).persist()
+    if head.count() <= rows:
+        return F.broadcast(head)
+    head.unpersist()
+    return df
 
 
 def hash_order(seed: str, key: Column) -> Column:

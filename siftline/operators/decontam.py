@@ -1,5 +1,6 @@
 """N-gram decontamination (P4-P9, F1-F5, J1, W3): index, boilerplate rule, hits, longest run.
 
+A gram is joined by two 64-bit hashes (P5), so no exchange carries its text.
 Grams are exploded with ``explode_outer``: a plain explode infers a filter on the array,
 which is pushed below the tokens' projection and computes them anew for each gram.
 Nulls fall out at the equi-joins that follow.
@@ -12,29 +13,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions import jsons as J
 from siftline.functions import text as T
 from siftline.operators.common import small
 
 N, MAX_DF, MIN_HITS, MIN_RUN = 8, 2, 2, 6
 
 
+DIGEST = ("g1", "g2")
+
+
+def digest(gram: str | Column) -> list[Column]:
+    """P5: the 128-bit digest of a gram as two columns."""
+    return [F.xxhash64(gram).alias("g1"), F.xxhash64(F.lit("g2"), gram).alias("g2")]
+
+
 def grams_of(df: DataFrame, key: str, text: str, n: int = N, tokens=T.normalize_tokens) -> DataFrame:
     """(key, gram): distinct n-grams of each row; rows with fewer tokens have none."""
     rows = df.select(F.col(key), tokens(F.col(text)).alias("t"))
     return rows.select(key, F.explode_outer(F.array_distinct(T.runs_of(F.col("t"), n))).alias("gram")).where("gram is not null")
 
 
+def leaf_texts(df: DataFrame, key: str, record: str) -> DataFrame:
+    """(key, leaf, text): every string of a JSON record, in order; grams never cross leaves."""
+    return df.select(key, F.posexplode_outer(J.leaves_udf(F.col(record))).alias("leaf", "text")).where("text is not null")
+
+
 def eval_index(sets: dict[str, DataFrame], max_df: int = MAX_DF, n: int = N, text: str = "text") -> DataFrame:
-    """(gram, mask): grams of each set whose row frequency is at most ``max_df`` (0: all), sets as bits."""
+    """(g1, g2, gram, mask, df): grams of each set whose row frequency is at most ``max_df`` (0: all), sets as bits."""
     if not sets:
         raise ValueError("no evaluation set is available")
     parts = None
     for bit, (_, df) in enumerate(sets.items()):
         own = df.select(F.monotonically_increasing_id().alias("row"), F.col(text))
-        g = grams_of(own, "row", text, n).groupBy("gram").agg(F.count("*").alias("df"))
-        g = (g.where(F.col("df") <= max_df) if max_df else g).select("gram", F.lit(1 << bit).alias("bit"), "df")
+        g = grams_of(own, "row", text, n).select("gram", *digest("gram")).groupBy(*DIGEST).agg(F.any_value("gram").alias("gram"), F.count("*").alias("df"))
+        g = (g.where(F.col("df") <= max_df) if max_df else g).select(*DIGEST, "gram", F.lit(1 << bit).alias("bit"), "df")
         parts = g if parts is None else parts.unionByName(g)
-    return parts.groupBy("gram").agg(F.bit_or("bit").alias("mask"), F.max("df").alias("df"))
+    return parts.groupBy(*DIGEST).agg(F.any_value("gram").alias("gram"), F.bit_or("bit").alias("mask"), F.max("df").alias("df"))
 
 
 def hits(df: DataFrame, index: DataFrame, sets: list[str], key: str, text: str = "text", n: int = N) -> DataFrame:
@@ -42,7 +57,7 @@ def hits(df: DataFrame, index: DataFrame, sets: list[str], key: str, text: str =
 
     The index is broadcast when its size is checked small, so only matches are shuffled.
     """
-    met = grams_of(df, key, text, n).join(small(index.select("gram", "mask")), "gram")
+    met = grams_of(df, key, text, n).select(key, *digest("gram")).join(small(index.select(*DIGEST, "mask")), list(DIGEST))
     each = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(sets))), lambda x: x.isNotNull())
     return met.select(key, F.explode(each).alias("eval_set")).groupBy(key, "eval_set").agg(F.count("*").alias("n_hits"))
 
@@ -60,17 +75,25 @@ def split(df: DataFrame, removed: DataFrame, key: str) -> tuple[DataFrame, DataF
     return df.join(removed.select(key), key, "left_anti"), removed
 
 
-def longest_run(df: DataFrame, index: DataFrame, key: str, text: str = "text", n: int = N, min_run: int = MIN_RUN) -> DataFrame:
-    """(key, run, start, window, removed): the longest run of consecutive matched positions.
+def longest_run(leaves: DataFrame, index: DataFrame, sets: list[str], key: str, text: str = "text", n: int = N, min_run: int = MIN_RUN, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(key, run, leaf, start, eval_sets, window, removed) from (key, leaf, text): the longest run of consecutive matched positions.
 
-    Gaps and islands over matched positions only; unmatched ones never leave the scan.
+    The first of equally long runs counts. ``eval_sets`` are those that any gram of it is from,
+    ``skip`` sets match nothing; ``window`` is the run's tokens, at most 200 characters. Gaps and
+    islands over matched positions only: what doesn't match never leaves the scan.
     """
-    rows = df.select(key, T.normalize_tokens(F.col(text)).alias("t"))
-    met = rows.select(key, F.posexplode_outer(T.runs_of(F.col("t"), n)).alias("pos", "gram")).join(small(index.select("gram")), "gram")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    runs = met.withColumn("island", island).groupBy(key, "island").agg(F.count("*").alias("run"), F.min("pos").alias("start"), F.min_by("gram", "pos").alias("gram"))
-    best = runs.groupBy(key).agg(F.max(F.struct("run", (-F.col("start")).alias("s"), "gram")).alias("b"))
-    return best.select(key, F.col("b.run").alias("run"), (-F.col("b.s")).alias("start"), F.substring("b.gram", 1, 200).alias("window"), (F.col("b.run") >= min_run).alias("removed"))
+    asked = sum(1 << i for i, s in enumerate(sets) if s not in skip)
+    probe = small(index.select(*DIGEST, F.col("mask").bitwiseAND(asked).alias("mask")).where("mask <> 0"))
+    rows = leaves.select(key, "leaf", T.normalize_tokens(F.col(text)).alias("t"))
+    met = rows.select(key, "leaf", F.posexplode_outer(T.runs_of(F.col("t"), n)).alias("pos", "gram")).where("gram is not null")
+    met = met.select(key, "leaf", "pos", *digest("gram")).join(probe, list(DIGEST)).drop(*DIGEST)
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "leaf").orderBy("pos"))
+    runs = met.withColumn("island", island).groupBy(key, "leaf", "island").agg(F.count("*").alias("run"), F.min("pos").alias("start"), F.bit_or("mask").alias("mask"))
+    best = runs.groupBy(key).agg(F.min(F.struct((-F.col("run")).alias("run"), "leaf", "start", "mask")).alias("b"))
+    best = best.select(key, (-F.col("b.run")).alias("run"), "b.leaf", "b.start", "b.mask")
+    shown = F.substring(F.array_join(F.slice("t", F.col("start") + 1, (F.col("run") + n - 1).cast("int")), " "), 1, 200)
+    names = F.array_join(F.array_compact(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(sets)))), ",")
+    return rows.join(best, [key, "leaf"]).select(key, "run", "leaf", "start", names.alias("eval_sets"), shown.alias("window"), (F.col("run") >= min_run).alias("removed"))
 
 
 def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, form: Callable[[Column], Column], grams: Callable[[Column], Column], text: str = "text") -> DataFrame:
@@ -78,9 +101,9 @@ def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, form: Callable
 
     ``form`` prepares a text, ``grams`` cuts what it gives.
     """
-    index = protected.select(form(F.col(text)).alias("t")).select(F.explode_outer(grams(F.col("t"))).alias("gram")).distinct()
-    met = df.select(key, form(F.col(text)).alias("t")).select(key, F.explode_outer(F.array_distinct(grams(F.col("t")))).alias("gram"))
-    return met.join(small(index), "gram", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    index = protected.select(form(F.col(text)).alias("t")).select(F.explode_outer(grams(F.col("t"))).alias("gram")).where("gram is not null").select(*digest("gram")).distinct()
+    met = df.select(key, form(F.col(text)).alias("t")).select(key, F.explode_outer(F.array_distinct(grams(F.col("t")))).alias("gram")).where("gram is not null")
+    return met.select(key, *digest("gram")).join(small(index), list(DIGEST), "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
 def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float) -> DataFrame:
@@ -91,9 +114,9 @@ def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float)
     ordered rarest first over all classes; two sets of Jaccard t share one of their first
     m - ceil(t * m) + 1 grams, so only classes that share a rare prefix gram meet.
     """
-    own = df.select(F.col(key).alias("id"), form.alias("form"))
-    classes = own.groupBy("form").agg(F.min("id").alias("rep"))
-    members = own.join(classes, "form").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    own = df.select(F.col(key).alias("id"), form.alias("form")).withColumn("class", F.sha2("form", 256))
+    classes = own.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("form").alias("form"))
+    members = own.select("id", "class").join(classes.select("class", "rep"), "class").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     rows = classes.select(F.col("rep").alias("id"), F.array_distinct(T.char_runs(F.col("form"), n, short_whole=True)).alias("g"))
     flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.operators.decontam import near_pairs
 
-#: Largest share of a batch that one first-two-words, first-four-words or style group may have.
+#: Largest share of a batch that one first-two-words, first-four-words or style group may have, and the gates' names.
 LIMITS = {"prefix2": 0.25, "prefix4": 0.10, "style": 0.35}
+NAMES = {"prefix2": "batch_prefix_2", "prefix4": "batch_prefix_4", "style": "batch_style"}
 NEAR = 0.92
 
 
@@ -28,12 +29,12 @@ def quota_gates(rows: DataFrame, key: str, text: str, style: str, least: int = 1
             d = d.join(over, d[name].eqNullSafe(over[name])).drop(over[name])
     else:
         d = d.withColumns({f"over_{n}": F.lit(False) for n in LIMITS})
-    gates = F.array_compact(F.array(*(F.when(F.col(f"over_{n}"), F.lit(f"batch_{n}")) for n in LIMITS)))
+    gates = F.array_compact(F.array(*(F.when(F.col(f"over_{n}"), F.lit(NAMES[n])) for n in LIMITS)))
     d = d.select("k", "t", gates.alias("gates"))
     alive = d.where(F.size("gates") == 0)
     near = near_pairs(alive, "k", T.collapsed(F.col("t")), 3, NEAR).select(F.col("b").alias("k")).distinct().withColumn("near", F.lit(True))
     out = d.join(near, "k", "left")
-    every = F.when(F.col("near"), F.array_append("gates", F.lit("near_copy"))).otherwise(F.col("gates"))
+    every = F.when(F.col("near"), F.array_append("gates", F.lit("skeleton_similarity"))).otherwise(F.col("gates"))
     return out.select(F.col("k").alias(key), F.array_join(every, ",").alias("gates"))
 
 

@@ -50,8 +50,12 @@ def decontam_summary(spark, sf):
 
 
 def decontam_longest_run(spark, sf):
-    index = D.eval_index({"benchmark": table(spark, sf, "benchmark")}, max_df=0)
-    return D.longest_run(table(spark, sf, "documents"), index, "doc_id")
+    """Runs in each line of a document (its leaves); items form three sets, the last of which is skipped."""
+    items = table(spark, sf, "benchmark")
+    sets = {f"set{i}": items.where(F.col("item_id") % 3 == i) for i in range(3)}
+    record = F.to_json(F.struct(F.split("text", "\n").alias("lines")))
+    leaves = D.leaf_texts(table(spark, sf, "documents").select("doc_id", record.alias("record")), "doc_id", "record")
+    return D.longest_run(leaves, D.eval_index(sets, max_df=0), list(sets), "doc_id", skip=("set2",))
 
 
 def decontam_ascii8(spark, sf):
@@ -67,9 +71,10 @@ def char8_overlap(spark, sf):
 
 
 def char3_neardup(spark, sf):
-    """User turns of character 3-gram Jaccard of 0.92 or more; copies pair with the first alone."""
+    """User turns, and each with its beginning repeated, of character 3-gram Jaccard of 0.92 or more; copies pair with the first alone."""
     turns = table(spark, sf, "conversations").where("role = 'user' and text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return D.near_pairs(turns, "id", T.collapsed(F.col("text")), 3, 0.92)
+    near = turns.select(F.concat(F.lit("n:"), "id").alias("id"), F.concat("text", F.lit(" "), F.substring("text", 1, 4)).alias("text"))
+    return D.near_pairs(turns.unionByName(near), "id", T.collapsed(F.col("text")), 3, 0.92)
 
 
 def normalized_tokens(spark, sf):
@@ -116,13 +121,13 @@ def structural_counts(spark, sf):
 def drop_reason_cascade(spark, sf):
     """the first drop reason of every document, in order."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    first = docs.groupBy("text").agg(F.min("doc_id").alias("first_id"))
-    rows = docs.join(first, "text").join(labels, "doc_id", "left")
+    rows = docs.select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+    rows = rows.join(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "digest").join(labels, "doc_id", "left")
     reason = (
-        F.when(F.length("text") == 0, "empty").when(F.col("doc_id") > F.col("first_id"), "duplicate").when(F.col("toxic") == 1, "toxic")
-        .when(F.col("quality") == 0, "low_quality").when(F.length("text") > 20000, "too_long").otherwise("kept")
+        F.when(F.col("chars") == 0, "empty").when(F.col("doc_id") > F.col("first_id"), "duplicate").when(F.col("toxic") == 1, "toxic")
+        .when(F.col("quality") == 0, "low_quality").when(F.col("chars") > 20000, "too_long").otherwise("kept")
     )
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 def reconciliation(spark, sf):
@@ -143,8 +148,9 @@ def prefix_theta_join(spark, sf):
     path = F.regexp_replace(F.regexp_extract("url", "^[^:]*://[^/?#]*([^?#]*)", 1), "(/|\\.html)$", "")
     p = table(spark, sf, "pages").select("page_id", url.alias("host"), path.alias("path"))
     heads = p.select(F.col("page_id").alias("parent_id"), F.col("host").alias("h"), F.col("path").alias("parent_path"))
-    # every prefix of a path is an equi-join key, so no pair of a host is compared twice
-    cuts = p.select("page_id", "host", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.length("path") - 1, F.lit(1)))).alias("n"))
+    # a path is cut at the lengths that paths of its host have, so a cut is an equi-join key; no pair of a host is compared twice
+    lengths = p.where("path <> ''").select(F.col("host").alias("h"), F.length("path").alias("n")).distinct().groupBy("h").agg(F.collect_list("n").alias("ns"))
+    cuts = p.join(lengths, F.col("host") == F.col("h")).select("page_id", "host", "path", F.explode("ns").alias("n"))
     cuts = cuts.where("n < length(path)").withColumn("prefix", F.expr("substring(path, 1, n)"))
     met = cuts.join(heads, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("parent_path")))
     return met.groupBy("host").agg(F.count("*").alias("n_pairs"), F.countDistinct("page_id").alias("n_children"))
@@ -161,17 +167,21 @@ ORACLES = {
     "decontam_8gram": f"WITH {HITS} SELECT doc_id, 'benchmark' AS eval_set, n_hits FROM hit",
     "decontam_removed": f"WITH {HITS} SELECT doc_id, 'benchmark' AS eval_sets, n_hits FROM hit WHERE n_hits >= 2",
     "decontam_summary": f"WITH {HITS}, r AS (SELECT count(*) AS n FROM hit WHERE n_hits >= 2), t AS (SELECT count(*) AS n FROM documents) SELECT t.n AS n_in, t.n - r.n AS n_kept, r.n AS n_removed FROM t, r",
-    "decontam_longest_run": f"""WITH b AS (SELECT DISTINCT gram FROM ({_grams("benchmark", "item_id")})), d AS ({_grams("documents", "doc_id", positions=True)}),
-m AS (SELECT doc_id, pos, gram, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM d JOIN b USING (gram)),
-r AS (SELECT doc_id, count(*) AS run, min(pos) AS start, min_by(gram, pos) AS gram FROM m GROUP BY doc_id, island),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run DESC, start) AS k FROM r)
-SELECT doc_id, run, start, substr(gram, 1, 200) AS "window", run >= 6 AS removed FROM o WHERE k = 1""",
+    "decontam_longest_run": f"""WITH b AS (SELECT gram, bit_or(1 << (item_id % 3)::INT) & 3 AS mask FROM ({_grams("benchmark", "item_id")}) GROUP BY gram),
+l AS (SELECT doc_id, i - 1 AS leaf, lines[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, leaf, {TOKENS} AS t FROM l),
+d AS (SELECT doc_id, leaf, i - 1 AS pos, array_to_string(t[i:i + 7], ' ') AS gram FROM (SELECT doc_id, leaf, t, unnest(range(1, len(t) - 6)) AS i FROM t WHERE len(t) >= 8)),
+m AS (SELECT doc_id, leaf, pos, mask, pos - row_number() OVER (PARTITION BY doc_id, leaf ORDER BY pos) AS island FROM d JOIN b USING (gram) WHERE mask <> 0),
+r AS (SELECT doc_id, leaf, count(*) AS run, min(pos) AS start, bit_or(mask) AS mask FROM m GROUP BY doc_id, leaf, island),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run DESC, leaf, start) AS k FROM r)
+SELECT doc_id, run, leaf, start, array_to_string(list_filter([CASE WHEN mask & 1 <> 0 THEN 'set0' END, CASE WHEN mask & 2 <> 0 THEN 'set1' END], lambda x: x IS NOT NULL), ',') AS eval_sets,
+substr(array_to_string(t[start + 1:start + run + 7], ' '), 1, 200) AS "window", run >= 6 AS removed FROM o JOIN t USING (doc_id, leaf) WHERE k = 1""",
     "decontam_ascii8": f"""WITH b AS (SELECT DISTINCT gram FROM ({_grams("benchmark", "item_id", 8, "regexp_extract_all(replace(lower(text), '_', ' '), '[a-z0-9]+')")})),
 d AS ({_grams("documents", "doc_id", 8, "regexp_extract_all(replace(lower(text), '_', ' '), '[a-z0-9]+')")}) SELECT doc_id, count(*) AS n_shared FROM d JOIN b USING (gram) GROUP BY doc_id""",
     "char8_overlap": f"""WITH b AS (SELECT DISTINCT substr(s, i, 8) AS gram FROM (SELECT s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT {LETTERS} AS s FROM benchmark))),
 d AS (SELECT DISTINCT doc_id, substr(s, i, 8) AS gram FROM (SELECT doc_id, s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT doc_id, {LETTERS} AS s FROM documents)))
 SELECT doc_id, count(*) AS n_shared FROM d JOIN b USING (gram) GROUP BY doc_id""",
-    "char3_neardup": f"""WITH o AS (SELECT conv_id || ':' || turn AS id, {C3} AS s FROM conversations WHERE role = 'user' AND text IS NOT NULL), s AS (SELECT min(id) AS id, s FROM o GROUP BY s),
+    "char3_neardup": f"""WITH t AS (SELECT conv_id || ':' || turn AS id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL), o AS (SELECT id, {C3} AS s FROM (SELECT * FROM t UNION ALL SELECT 'n:' || id, text || ' ' || substr(text, 1, 4) FROM t)), s AS (SELECT min(id) AS id, s FROM o GROUP BY s),
 g AS (SELECT id, list_distinct(CASE WHEN length(s) < 3 THEN [s] ELSE [substr(s, i, 3) FOR i IN range(1, length(s) - 1)] END) AS g FROM s WHERE length(s) > 0),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM g a JOIN g b ON a.id < b.id AND len(a.g) >= 0.92 * len(b.g) AND len(b.g) >= 0.92 * len(a.g))
 SELECT a, b, round(n / (m - n), 6) AS jaccard FROM p WHERE n / (m - n) >= 0.92 UNION ALL SELECT s.id, o.id, 1.0::DOUBLE FROM o JOIN s USING (s) WHERE o.id <> s.id""",

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.operators import records as R
-from siftline.plans.fixtures import Fixture
+from siftline.plans.fixtures import Fixture, Mixed
 from siftline.session import table
 
-IDS = Fixture("id int, a string, b string", [(1, "x1", "u"), (2, " ", "u2"), (3, None, None)])
-INSTANCES = Fixture("id int, iid string", [(1, "own__repo.abc123.func_pm__z9"), (2, "a__b.1f.lm_rewrite__q"), (3, "odd")])
-CAPS = Fixture("id int, prompt int", [(1, 100), (2, 7000), (3, 9000)])
+IDS = Mixed(Fixture("id int, a string, b string", [(1, "x1", "u"), (2, " ", "u2"), (3, None, None)]), "documents", ("1000 + doc_id", "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '  ' END", "CASE doc_id % 2 WHEN 0 THEN lang END"), "TRUE")
+INSTANCES = Mixed(
+    Fixture("id int, iid string", [(1, "own__repo.abc123.func_pm__z9"), (2, "a__b.1f.lm_rewrite__q"), (3, "odd")]), "documents",
+    ("1000 + doc_id", "concat('own', doc_id % 7, '__repo', doc_id % 5, '.', substr(md5(CAST(doc_id AS STRING)), 1, 8), '.', CASE doc_id % 3 WHEN 0 THEN 'func_pm_op' WHEN 1 THEN 'lm_rewrite' ELSE 'combine_file' END, '__', doc_id)"), "TRUE",
+)
+CAPS = Mixed(Fixture("id int, prompt int", [(1, 100), (2, 7000), (3, 9000)]), "documents", ("1000 + doc_id", "length(text)"))
 
 
 def record_ids(spark, sf):
-    return IDS.frame(spark).select("id", R.record_id(F.lit("src"), F.col("id"), F.col("a"), F.col("b")).alias("record_id"))
+    return IDS.frame(spark, sf).select("id", R.record_id(F.lit("src"), F.col("id"), F.col("a"), F.col("b")).alias("record_id"))
 
 
 def batch_prompts(spark, sf):
@@ -27,11 +30,11 @@ def batch_prompts(spark, sf):
 
 
 def instance_parse(spark, sf):
-    return INSTANCES.frame(spark).select("id", R.instance_parts(F.col("iid")).alias("p")).select("id", "p.*")
+    return INSTANCES.frame(spark, sf).select("id", R.instance_parts(F.col("iid")).alias("p")).select("id", "p.*")
 
 
 def token_caps(spark, sf):
-    return CAPS.frame(spark).select("id", R.token_cap(F.col("prompt"), 4096, 8192).cast("bigint").alias("cap"))
+    return CAPS.frame(spark, sf).select("id", R.token_cap(F.col("prompt"), 4096, 8192).cast("bigint").alias("cap"))
 
 
 def generation_lengths(spark, sf):

@@ -21,10 +21,10 @@ def _merged(attribute: str) -> dict:
 
 #: Columns that one engine gives another integer width: both sides cast them to 64 bits.
 WIDE = {
-    "decontam_longest_run": "start", "normalized_tokens": "n_tokens", "corpus_profile": "est_tokens max_chars", "corpus_profile_rollup": "chars", "drop_reason_cascade": "chars",
+    "decontam_longest_run": "start leaf run", "normalized_tokens": "n_tokens", "corpus_profile": "est_tokens max_chars", "corpus_profile_rollup": "chars", "drop_reason_cascade": "chars",
     "reconciliation": "n_read n_kept n_dropped", "describe": "min max", "index_percentile": "p50 p90 p95 p99", "weighted_nll": "n_tok", "benchmark_aggregate": "n", "expert_scores": "expert",
     "text_shapes": "chars paragraphs bullets", "roundrobin_interleave": "position", "sidecar_join": "chars", "worker_split": "ids", "replay_mix": "ids", "conv_normalize": "n", "conv_preamble": "n",
-    "conv_first_assistant": "n", "conv_render": "own_chars n_spans", "bijection_roundtrip": "n_mocks",
+    "conv_first_assistant": "n", "conv_render": "own_chars n_spans", "trace_messages": "n n_calls",
 }
 
 

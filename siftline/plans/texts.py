@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.plans.fixtures import Fixture
+from siftline.operators import rewards as W
+from siftline.plans.fixtures import Fixture, Mixed
 from siftline.session import table
 
-ANSWERS = Fixture("id int, text string, gold string", [
+ANSWERS = Mixed(Fixture("id int, text string, gold string", [
     (1, "<think>maybe 7</think>So the total is\n#### 1,234", "#### 1234"),
     (2, "first 3 then 4.50", "it is #### 4.5 then #### 9"), (3, "no digits here", "#### -2"),
     (4, "#### 5\nbut later 6", None), (5, "", "x"), (6, "-1,000.25 apples", "#### -1000.25"),
-])
-CHOICES = Fixture("id int, text string", [
+]), 'conversations', ('1000 + conv_id * 1000 + turn', "CASE turn % 4 WHEN 0 THEN concat('<think>', text, ' 7</think>so #### ', length(text)) WHEN 1 THEN concat(text, ' makes ', length(text) * 3, '.') WHEN 2 THEN text ELSE concat('#### 1,', 100 + length(text) % 900, ' and ', turn) END", "concat('#### ', CASE turn % 2 WHEN 0 THEN length(text) ELSE length(text) * 3 END)"))
+CHOICES = Mixed(Fixture("id int, text string", [
     (1, "The answer is (B) because A is wrong"), (2, "A or C? I choose C"), (3, "<think>A</think> Answer: D"), (4, "nothing"), (5, "option A, no, answer is B"), (6, "BAD CAB"),
-])
-THOUGHTS = Fixture("id int, text string", [
+]), 'conversations', ('1000 + conv_id * 1000 + turn', "CASE turn % 4 WHEN 0 THEN concat('The answer is (', substr('ABCD', length(text) % 4 + 1, 1), ') as ', text) WHEN 1 THEN concat(text, ' ', substr('ABCDE', length(text) % 5 + 1, 1)) WHEN 2 THEN text ELSE concat('<think>option A</think>', text, ' Option ', substr('ABCD', length(text) % 4 + 1, 1), ', so B') END"))
+THOUGHTS = Mixed(Fixture("id int, text string", [
     (1, "<think>abc</think>rest"), (2, "<think>open end"), (3, "plain"), (4, "<think></think><solution>x</solution>"), (5, "<think>why</think>\n<solution>done</solution>"),
     (6, "<think>a</think><think>b</think><solution>c</solution>"), (7, "</think>odd<think>z"), (8, "<<<<<<< SEARCH\n<<<<<<< SEARCH"),
-])
-CODE = Fixture("id int, text string", [
+]), 'conversations', ('1000 + conv_id * 1000 + turn', "CASE turn % 5 WHEN 0 THEN concat('<think>', text, '</think>', '<solution>', length(text), '</solution>') WHEN 1 THEN concat('<think>', text) WHEN 2 THEN text WHEN 3 THEN concat('<solution>s</solution><think>', text, '</think>') ELSE concat('<think> </think><solution>', text, '</solution><<<<<<< SEARCH') END"))
+CODE = Mixed(Fixture("id int, text string", [
     (1, "a\n```python\ndef f():\n  return 1\n```\nb\n```\nprint(2)\n```"), (2, "```\nx = 1\n```"), (3, "none"), (4, "<think>```\ndef no()\n```</think>```py\nok\n```"),
-])
-NAMES = Fixture("id int, text string", [(1, "Get_User-Name.v2 now"), (2, "ÉCOLE_1"), (3, ""), (4, "A.b C-d")])
-NUMBERS = Fixture("id int, a string, b string", [(1, "1.00001", "1"), (2, "1.1", "1"), (3, " x ", "x"), (4, None, "1"), (5, "2", "two"), (6, "1e3", "1000")])
+]), 'conversations', ('1000 + conv_id * 1000 + turn', "CASE turn % 3 WHEN 0 THEN concat(text, chr(10), '```python', chr(10), 'def f', length(text), '():', chr(10), '```', chr(10), '```', chr(10), text, '```') WHEN 1 THEN text ELSE concat('```', chr(10), text, chr(10), '```') END"))
+NAMES = Mixed(Fixture("id int, text string", [(1, "Get_User-Name.v2 now"), (2, "ÉCOLE_1"), (3, ""), (4, "A.b C-d")]), 'conversations', ('1000 + conv_id * 1000 + turn', 'text'))
+NUMBERS = Mixed(Fixture("id int, a string, b string", [(1, "1.00001", "1"), (2, "1.1", "1"), (3, " x ", "x"), (4, None, "1"), (5, "2", "two"), (6, "1e3", "1000")]), 'conversations', ('1000 + conv_id * 1000 + turn', "concat(length(text), '.0')", 'concat(length(text) + turn % 2)'))
 
 # Texts of this repository's own: at least one that passes and one that fails for each validator.
-SAMPLES = Fixture("id int, text string", [
+SAMPLES = Mixed(Fixture("id int, text string", [
     (1, "会場を案内します。時間を確認してください。"), (2, "会場を紹介する。時間を確認した。"), (3, "見出しなし\n\n二つ目の段落です。"), (4, "- 確認\n- 確認\n- 確認"),
     (5, "1. 一つ\n2. 二つ\n3) 三つ"), (6, "# 題名\n本文です。"), (7, '{"題名": "会", "状態": "済"}'), (8, "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"),
     (9, "きょうはよいひ"), (10, "カタカナー"), (11, "漢字、文。"), (12, "案内は以上です。"), (13, "plain ascii text, 禁止語 included"), (14, ""), (15, '{"題名": 1}'),
-])
+]), 'documents', ('1000 + doc_id', 'text'))
 BUNDLE = [{"type": "char_range", "min": 5, "max": 30}, {"type": "polite_style"}, {"type": "forbidden_word", "word": "禁止語"}, {"type": "other"}]
 ARGS = {
     "char_range": {"min": 5, "max": 12}, "sentence_count": {"count": 2}, "paragraph_count": {"count": 2}, "keyword_count": {"keyword": "確認", "count": 3}, "forbidden_word": {"word": "禁止語"},
@@ -60,42 +61,44 @@ CHECKS = {
 
 
 def _validator(name):
-    return lambda spark, sf: SAMPLES.frame(spark).select("id", F.coalesce(T.VALIDATORS[name](F.col("text"), **ARGS[name]), F.lit(False)).alias("passed"))
+    return lambda spark, sf: SAMPLES.frame(spark, sf).select("id", F.coalesce(T.VALIDATORS[name](F.col("text"), **ARGS[name]), F.lit(False)).alias("passed"))
 
 
 def val_bundle(spark, sf):
     """all failures of a bundle, unknown types reported."""
-    return SAMPLES.frame(spark).select("id", F.array_join(T.failures(F.col("text"), BUNDLE), ",").alias("failures"))
+    return SAMPLES.frame(spark, sf).select("id", F.array_join(T.failures(F.col("text"), BUNDLE), ",").alias("failures"))
 
 
 def last_number(spark, sf):
     t = F.col("text")
-    return ANSWERS.frame(spark).select("id", T.last_number(t).alias("pred"), T.gold_number(F.col("gold")).alias("gold"), T.numbers_equal(T.last_number(t), T.gold_number(F.col("gold"))).alias("correct"))
+    return ANSWERS.frame(spark, sf).select("id", T.last_number(t).alias("pred"), T.gold_number(F.col("gold")).alias("gold"), T.numbers_equal(T.last_number(t), T.gold_number(F.col("gold"))).alias("correct"))
 
 
 def choice_letter(spark, sf):
-    return CHOICES.frame(spark).select("id", T.choice_letter(F.col("text")).alias("letter"))
+    return CHOICES.frame(spark, sf).select("id", T.choice_letter(F.col("text")).alias("letter"))
 
 
 def think_split(spark, sf):
-    return THOUGHTS.frame(spark).select("id", T.think_split(F.col("text")).alias("s")).select("id", "s.chars", "s.closed", "s.payload")
+    return THOUGHTS.frame(spark, sf).select("id", T.think_split(F.col("text")).alias("s")).select("id", "s.chars", "s.closed", "s.payload")
 
 
 def think_solution(spark, sf):
-    return THOUGHTS.frame(spark).select("id", T.thought_solution(F.col("text")).alias("s"), T.tag_flags(F.col("text")).alias("f")).select("id", "s.thought", "s.solution", "s.error", "f.think_open", "f.search", "f.exact")
+    """P20, P22."""
+    answer, error = W.solution(F.col("text"))
+    return THOUGHTS.frame(spark, sf).select("id", F.when(error.isNull(), answer).alias("solution"), error.alias("error"), T.tag_flags(F.col("text")).alias("f")).select("id", "solution", "error", "f.think_open", "f.search", "f.exact")
 
 
 def code_block(spark, sf):
-    return CODE.frame(spark).select("id", T.code_block(F.col("text")).alias("code"))
+    return CODE.frame(spark, sf).select("id", T.code_block(F.col("text")).alias("code"))
 
 
 def identifiers(spark, sf):
     t = F.col("text")
-    return NAMES.frame(spark).select("id", T.plain_identifier(t).alias("plain"), T.strict_identifier(t).alias("strict"), T.first_words(t, 2).alias("two"), F.array_join(T.ascii_tokens(t), " ").alias("tokens"))
+    return NAMES.frame(spark, sf).select("id", T.plain_identifier(t).alias("plain"), T.strict_identifier(t).alias("strict"), T.first_words(t, 2).alias("two"), F.array_join(T.ascii_tokens(t), " ").alias("tokens"))
 
 
 def numbers_equal(spark, sf):
-    return NUMBERS.frame(spark).select("id", T.numbers_equal(F.col("a"), F.col("b")).alias("equal"))
+    return NUMBERS.frame(spark, sf).select("id", T.numbers_equal(F.col("a"), F.col("b")).alias("equal"))
 
 
 def text_shapes(spark, sf):
@@ -129,7 +132,16 @@ def _n(tag: str) -> str:
 
 
 EXACT = " AND ".join(f"{_n(t)} = 1" for t in T.TAGS)
-THOUGHT, SOLUTION = "regexp_extract(text, '(?s)<think>(.*?)</think>', 1)", "regexp_extract(text, '(?s)<solution>(.*?)</solution>', 1)"
+
+
+def _between(a: str, b: str) -> str:
+    return f"string_split(string_split(text, '{a}')[2], '{b}')[1]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
 BLOCK = f"regexp_extract_all({AFTER}, '(?s)```[A-Za-z0-9_+-]*\\n(.*?)```', 1)"
 KEYED = rf"regexp_extract_all({AFTER}, '(?i:answer|option|choice)\s*(?i:is)?\s*[:=]?\s*\(?([A-D])\b', 1)"
 ALONE = rf"regexp_extract_all({AFTER}, '\b([A-D])\b', 1)"
@@ -140,7 +152,7 @@ ORACLES = {f"val_{k}": f"SELECT id, {v} AS passed FROM {SAMPLES.sql}" for k, v i
     "last_number": f"SELECT id, {PRED} AS pred, {GOLD} AS gold, {_equal(PRED, GOLD)} AS correct FROM {ANSWERS.sql}",
     "choice_letter": f"SELECT id, CASE WHEN len({KEYED}) > 0 THEN {KEYED}[-1] WHEN len({ALONE}) > 0 THEN {ALONE}[-1] END AS letter FROM {CHOICES.sql}",
     "think_split": f"SELECT id, CASE WHEN {START} = 0 THEN 0 WHEN instr({REST}, '</think>') = 0 THEN length({REST}) ELSE instr({REST}, '</think>') - 1 END AS chars, {START} > 0 AND instr({REST}, '</think>') > 0 AS closed, CASE WHEN {START} > 0 AND instr({REST}, '</think>') > 0 THEN substr({REST}, instr({REST}, '</think>') + 8) ELSE text END AS payload FROM {THOUGHTS.sql}",
-    "think_solution": f"SELECT id, CASE WHEN good THEN {THOUGHT} END AS thought, CASE WHEN good THEN {SOLUTION} END AS solution, CASE WHEN NOT good THEN 'format' END AS error, {_n('<think>')} AS think_open, {_n('<<<<<<< SEARCH')} AS search, {EXACT} AS exact FROM (SELECT *, {EXACT} AND length(trim({THOUGHT})) > 0 AS good FROM {THOUGHTS.sql})",
+    "think_solution": f"SELECT id, CASE WHEN error IS NULL THEN solution END AS solution, error, think_open, search, exact FROM (SELECT *, CASE {' '.join(f"WHEN {_n(t)} <> 1 THEN 'count of {t} is not 1'" for t in T.TAGS)} WHEN length({_strip(_between(*T.TAGS[:2]))}) = 0 THEN 'Thought is empty' END AS error, {_strip(_between(*T.TAGS[2:]))} AS solution, {_n('<think>')} AS think_open, {_n('<<<<<<< SEARCH')} AS search, {EXACT} AS exact FROM {THOUGHTS.sql})",
     "code_block": f"SELECT id, CASE WHEN len(list_filter({BLOCK}, lambda x: contains(x, 'def '))) > 0 THEN list_filter({BLOCK}, lambda x: contains(x, 'def '))[-1] WHEN len({BLOCK}) > 0 THEN {BLOCK}[-1] END AS code FROM {CODE.sql}",
     "identifiers": rf"SELECT id, regexp_replace(lower(text), '[_\-.\s]', '', 'g') AS plain, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS strict, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ' ') AS two, array_to_string(regexp_extract_all(replace(lower(text), '_', ' '), '[a-z0-9]+'), ' ') AS tokens FROM {NAMES.sql}",
     "numbers_equal": f"SELECT id, {_equal('a', 'b')} AS equal FROM {NUMBERS.sql}",
