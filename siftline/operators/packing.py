@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,24 +32,48 @@ def stream_blocks(df: DataFrame, key: str, size: str, length: int) -> DataFrame:
     return pieces.groupBy("block").agg(F.count("*").alias("n_pieces"), F.min(key).alias("first_key"))
 
 
-def pack(df: DataFrame, key: str, size: str, length: int, shard: int) -> DataFrame:
-    """(shard, block, used, keys): greedy fill in key order inside shards of ``shard`` keys.
+def token_blocks(df: DataFrame, order: list[str], shard: str, ids: str, labels: str, length: int, pad: int, head_drop: float = 0.0, seed: int = 0, ignore: int = -100) -> DataFrame:
+    """(shard, block, ids, labels): greedy blocks of ``length`` tokens in order inside each shard.
 
-    An example that doesn't fit keeps the tail that does; a full block is closed. A shard
-    is a bounded run of keys, so a task never holds more than one.
+    An example that doesn't fit keeps the tail that does; a full block is closed; the last one
+    is padded. With ``head_drop`` an example that joins others loses its first token with that
+    probability, drawn from a hash of seed, shard and place. One stream is one shard. Batches
+    stream in order and only the open block is held, so memory doesn't grow with a shard.
     """
+    rows = df.select(F.col(shard).alias("shard"), *order, F.col(ids).alias("ids"), F.col(labels).alias("labels"))
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", *order).select("shard", "ids", "labels")
+
+    def run(parts):
+        open_shard, block, place, held = None, 0, 0, ([], [])
+
+        def close():
+            return {"shard": open_shard, "block": block, "ids": held[0] + [pad] * (length - len(held[0])), "labels": held[1] + [ignore] * (length - len(held[1]))}
+
+        for part in parts:
+            out = []
+            for s, x, y in zip(part["shard"], part["ids"], part["labels"]):
+                if s != open_shard:
+                    if held[0]:
+                        out.append(close())
+                    open_shard, block, place, held = s, 0, 0, ([], [])
+                room = length - len(held[0])
+                x, y = list(x)[-room:], list(y)[-room:]
+                if held[0] and head_drop:
+                    draw = int.from_bytes(hashlib.sha256(f"{seed}:{s}:{place}".encode()).digest()[:7])
+                    if draw < head_drop * (1 << 56):
+                        x, y = x[1:], y[1:]
+                place += 1
+                held = (held[0] + x, held[1] + y)
+                if len(held[0]) >= length:
+                    out.append(close())
+                    block, held = block + 1, ([], [])
+            yield pd.DataFrame(out, columns=["shard", "block", "ids", "labels"])
+        if held[0]:
+            yield pd.DataFrame([close()])
+
+    return dealt.mapInPandas(run, "shard bigint, block bigint, ids array<int>, labels array<int>")
+
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used, keys, block = [], 0, 0, 0
-        for n in pdf.sort_values(key)[size]:
-            take = min(int(n), length - used)
-            used, keys = used + take, keys + (take > 0)
-            if used == length:
-                out.append((pdf["shard"].iloc[0], block, used, keys))
-                used, keys, block = 0, 0, block + 1
-        if used:
-            out.append((pdf["shard"].iloc[0], block, used, keys))
-        return pd.DataFrame(out, columns=["shard", "block", "used", "keys"])
-
-    rows = df.select(F.floor(F.col(key) / shard).alias("shard"), F.col(key), F.col(size))
-    return rows.groupBy("shard").applyInPandas(fill, "shard bigint, block bigint, used bigint, keys bigint")
+def turn_labels(ids: Column, roles: Column, ignore: int = -100) -> Column:
+    """Ids of assistant turns as labels, all other turns masked; from token arrays of each turn and its roles."""
+    return F.flatten(F.transform(F.arrays_zip(ids.alias("t"), roles.alias("r")), lambda z: F.transform(z["t"], lambda x: F.when(z["r"] == "assistant", x).otherwise(F.lit(ignore)))))

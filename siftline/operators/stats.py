@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,31 +102,36 @@ def advantages(rows: DataFrame, group: str, reward: str, normalise: str = "std",
     return out.withColumns({"advantage": F.round(adv + 1e-10, 6), "skipped": F.col("sd") == 0}).drop("m", "sd")
 
 
-def agreement(rows: DataFrame, key: str, passed: Column) -> DataFrame:
+def agreement(rows: DataFrame, key: str | list[str], passed: Column) -> DataFrame:
     """(C(p, 2) + C(n - p, 2)) / C(n, 2) of each key's repeated outcomes; null for one."""
-    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(passed).alias("p"))
+    g = rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.count("*").alias("n"), F.count_if(passed).alias("p"))
     n, p = F.col("n"), F.col("p")
     return g.withColumn("agreement", F.round(F.try_divide(p * (p - 1) + (n - p) * (n - p - 1), n * (n - 1)), 6))
 
 
+# Probabilities that a Poisson(1) draw is at most 0, 1, 2, ..; beyond the last one, one more.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def poisson_weight(key: Column, rep: Column, seed: int) -> Column:
+    """A Poisson(1) draw from a hash of key, replicate and seed."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, rep), 11) / float(1 << 53)).cast("double")
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
+
+
+def replicates(rows: DataFrame, key: str, num: str, den: str, b: int = 1000, seed: int = 0) -> DataFrame:
+    """(rep, m): sum(num) / sum(den) of each replicate."""
+    keys = rows.groupBy(key).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
+    w = keys.select(key, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep")).withColumn("w", poisson_weight(F.col(key), F.col("rep"), seed))
+    return w.groupBy("rep").agg((F.sum(F.col("w") * F.col("num")) / F.nullif(F.sum(F.col("w") * F.col("den")), F.lit(0.0))).alias("m"))
+
+
 def poisson_bootstrap(rows: DataFrame, key: str, num: str, den: str, b: int = 1000, seed: int = 0) -> DataFrame:
     """Percentile interval of sum(num) / sum(den) under resampling of keys.
 
     Each key draws a Poisson(1) weight for each replicate from its own hash, so replicates
-    are summed in parallel and no key moves; pairs of arms share the weight of their key.
+    are summed before the shuffle and no key moves; pairs of arms share the weight of their key.
     """
-    keys = rows.groupBy(key).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
-
-    def run(parts):
-        sums, dens = np.zeros(b), np.zeros(b)
-        for p in parts:
-            for k, x, d in zip(p[key], p["num"], p["den"]):
-                w = np.random.default_rng([seed, abs(hash(int(k)))]).poisson(1.0, b)
-                sums += w * x
-                dens += w * d
-        yield pd.DataFrame({"rep": range(b), "s": sums, "d": dens})
-
-    reps = keys.mapInPandas(run, "rep int, s double, d double").groupBy("rep").agg((F.sum("s") / F.nullif(F.sum("d"), F.lit(0.0))).alias("m"))
+    point = rows.agg((F.sum(num) / F.nullif(F.sum(den).cast("double"), F.lit(0.0))).alias("point")).withColumn("k", F.lit(1))
     low, high = F.percentile("m", 0.025), F.percentile("m", 0.975)
-    point = keys.agg((F.sum("num") / F.sum("den")).alias("point")).withColumn("k", F.lit(1))
-    return reps.agg(low.alias("low"), high.alias("high")).withColumn("k", F.lit(1)).join(point, "k").select("point", "low", "high")
+    return replicates(rows, key, num, den, b, seed).agg(low.alias("low"), high.alias("high")).withColumn("k", F.lit(1)).join(point, "k").select("point", "low", "high")

@@ -214,9 +214,11 @@ def stream_blocks(spark, sf):
 
 
 def pack_blocks(spark, sf):
-    """Greedy blocks of 2,048 tokens in shards of 1,000 ids."""
-    d = table(spark, sf, "documents").select("doc_id", F.ceil(F.length("text") / 4).alias("size"))
-    return K.pack(d, "doc_id", "size", 2048, 1000)
+    """The words of every document as tokens, packed into blocks of 256 in shards of 1,000 ids."""
+    t = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 1000).alias("shard"), F.transform(t, lambda w: F.length(w)).alias("ids"))
+    out = K.token_blocks(d, ["doc_id"], "shard", "ids", "ids", 256, 0)
+    return out.select("shard", "block", F.size(F.filter("labels", lambda x: x != -100)).cast("bigint").alias("used"), F.aggregate("ids", F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"))
 
 
 def seed_table(spark, sf):
