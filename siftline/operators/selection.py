@@ -108,3 +108,17 @@ def split_last(df: DataFrame, key: str, share: float, cap: int, seed: str) -> Da
     n_val = min(max(1, int(n * share)), cap)
     val = df.select(key).orderBy(hash_order(seed, F.col(key)), key).limit(n_val).withColumn("is_val", F.lit(True))
     return df.select(key).join(F.broadcast(val), key, "left").select(key, F.coalesce("is_val", F.lit(False)).alias("is_val"))
+
+
+def distinct_pool(df: DataFrame, value: str, order: list[str], cap: int) -> DataFrame:
+    """Distinct values by first appearance, at most ``cap``; copies meet as digests."""
+    d = df.where(F.col(value).isNotNull()).select(F.sha2(value, 256).alias("digest"), F.col(value).alias("value"), F.struct(*order).alias("at"))
+    first = d.groupBy("digest").agg(F.min("at").alias("at"), F.any_value("value").alias("value"))
+    return first.orderBy("at").limit(cap).select("value", *(F.col(f"at.{c}").alias(c) for c in order))
+
+
+def random_subset(items: Column, key: Column, seed: str, low: int, high: int) -> Column:
+    """Between ``low`` and ``high`` items of an array, in hash order of seed, key and item."""
+    mark = lambda x: F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), x))
+    k = F.lit(low) + F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}k"), key.cast("string"))), 1, 8), 16, 10).cast("long"), F.least(F.lit(high), F.size(items)) - low + 1)
+    return F.transform(F.slice(F.array_sort(F.transform(items, lambda x: F.struct(mark(x).alias("m"), x.alias("x")))), F.lit(1), k.cast("int")), lambda e: e["x"])

@@ -175,6 +175,16 @@ def chat_turns(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(kept.alias("messages")).where(F.size("messages") >= 2)
 
 
+def tool_dialogues(spark: SparkSession, path: str, messages: str = "messages", tools: str = "tools") -> DataFrame:
+    """(messages, tools) of a parquet source, two columns read: tools as text must be a JSON array or object that
+    isn't empty, messages two or more; others are left out. Null content is empty text."""
+    rows = spark.read.parquet(path).select(F.col(messages).alias("messages"), F.col(tools).alias("tools"))
+    kind = F.schema_of_variant(F.try_parse_json("tools"))
+    full = (kind.startswith("ARRAY") | kind.startswith("OBJECT")) & ~F.regexp_replace("tools", r"\s", "").isin("[]", "{}")
+    kept = rows.where(F.coalesce(full, F.lit(False)) & (F.size("messages") >= 2))
+    return kept.select(F.transform("messages", lambda m: m.withField("content", F.coalesce(m["content"], F.lit("")))).alias("messages"), "tools")
+
+
 def union_sources(parts: list[DataFrame | None]) -> DataFrame:
     """An ordered union; a missing source is skipped, missing columns are null."""
     have = [p for p in parts if p is not None]

@@ -18,9 +18,15 @@ def write_json(spark: SparkSession, path: str, value: object, replace: bool = Tr
     fs, p = _path(spark, path)
     if fs.exists(p) and not replace:
         raise FileExistsError(path)
+    write_bytes(spark, path, json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2).encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, written beside and renamed."""
+    fs, p = _path(spark, path)
     tmp = p.suffix(".tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2).encode()))
+    out.write(bytearray(content))
     out.close()
     if fs.exists(p):
         fs.delete(p, False)
