@@ -1,39 +1,17 @@
-"""N-gram decontamination (P4-P9, F1-F5, J1, W3): index, boilerplate rule, hits, longest run.
-
-A gram is joined by two 64-bit hashes (P5), so no exchange carries its text.
-Grams are exploded with ``explode_outer``: a plain explode infers a filter on the array,
-which is pushed below the tokens' projection and computes them anew for each gram.
-Nulls fall out at the equi-joins that follow.
-"""
+"""N-gram decontamination (P4-P9, F1-F5, J1, W3): index, boilerplate rule, hits, longest run."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import jsons as J
 from siftline.functions import text as T
-from siftline.operators.common import small
+from siftline.functions.grams import DIGEST, gram_rows, matches
 
 N, MAX_DF, MIN_HITS, MIN_RUN = 8, 2, 2, 6
 
 
-DIGEST = ("g1", "g2")
-
-
-def digest(gram: str | Column) -> list[Column]:
-    """P5: the 128-bit digest of a gram as two columns."""
-    return [F.xxhash64(gram).alias("g1"), F.xxhash64(F.lit("g2"), gram).alias("g2")]
-
-
-def grams_of(df: DataFrame, key: str, text: str, n: int = N, tokens=T.normalize_tokens) -> DataFrame:
-    """(key, gram): distinct n-grams of each row; rows with fewer tokens have none."""
-    rows = df.select(F.col(key), tokens(F.col(text)).alias("t"))
-    return rows.select(key, F.explode_outer(F.array_distinct(T.runs_of(F.col("t"), n))).alias("gram")).where("gram is not null")
-
-
 def leaf_texts(df: DataFrame, key: str, record: str) -> DataFrame:
     """(key, leaf, text): every string of a JSON record, in order; grams never cross leaves."""
     return df.select(key, F.posexplode_outer(J.leaves_udf(F.col(record))).alias("leaf", "text")).where("text is not null")
@@ -45,21 +23,21 @@ def eval_index(sets: dict[str, DataFrame], max_df: int = MAX_DF, n: int = N, tex
         raise ValueError("no evaluation set is available")
     parts = None
     for bit, (_, df) in enumerate(sets.items()):
-        own = df.select(F.monotonically_increasing_id().alias("row"), F.col(text))
-        g = grams_of(own, "row", text, n).select("gram", *digest("gram")).groupBy(*DIGEST).agg(F.any_value("gram").alias("gram"), F.count("*").alias("df"))
+        g = gram_rows(df, [], text, "words", n, shown=True).groupBy(*DIGEST).agg(F.any_value("gram").alias("gram"), F.count("*").alias("df"))
         g = (g.where(F.col("df") <= max_df) if max_df else g).select(*DIGEST, "gram", F.lit(1 << bit).alias("bit"), "df")
         parts = g if parts is None else parts.unionByName(g)
     return parts.groupBy(*DIGEST).agg(F.any_value("gram").alias("gram"), F.bit_or("bit").alias("mask"), F.max("df").alias("df"))
 
 
-def hits(df: DataFrame, index: DataFrame, sets: list[str], key: str, text: str = "text", n: int = N) -> DataFrame:
-    """(key, eval_set, n_hits): distinct matched grams of each row and set.
+def set_names(mask: Column, sets: list[str]) -> Column:
+    """The sets of a mask, in order."""
+    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(sets))))
 
-    The index is broadcast when its size is checked small, so only matches are shuffled.
-    """
-    met = grams_of(df, key, text, n).select(key, *digest("gram")).join(small(index.select(*DIGEST, "mask")), list(DIGEST))
-    each = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(sets))), lambda x: x.isNotNull())
-    return met.select(key, F.explode(each).alias("eval_set")).groupBy(key, "eval_set").agg(F.count("*").alias("n_hits"))
+
+def hits(df: DataFrame, index: DataFrame, sets: list[str], key: str, text: str = "text", n: int = N) -> DataFrame:
+    """(key, eval_set, n_hits): distinct matched grams of each row and set."""
+    met = matches(df, [key], text, "words", n, index)
+    return met.select(key, F.explode(set_names(F.col("mask"), sets)).alias("eval_set")).groupBy(key, "eval_set").agg(F.count("*").alias("n_hits"))
 
 
 def contaminated(df: DataFrame, index: DataFrame, sets: list[str], key: str, text: str = "text", min_hits: int = MIN_HITS) -> DataFrame:
@@ -83,27 +61,24 @@ def longest_run(leaves: DataFrame, index: DataFrame, sets: list[str], key: str,
     islands over matched positions only: what doesn't match never leaves the scan.
     """
     asked = sum(1 << i for i, s in enumerate(sets) if s not in skip)
-    probe = small(index.select(*DIGEST, F.col("mask").bitwiseAND(asked).alias("mask")).where("mask <> 0"))
-    rows = leaves.select(key, "leaf", T.normalize_tokens(F.col(text)).alias("t"))
-    met = rows.select(key, "leaf", F.posexplode_outer(T.runs_of(F.col("t"), n)).alias("pos", "gram")).where("gram is not null")
-    met = met.select(key, "leaf", "pos", *digest("gram")).join(probe, list(DIGEST)).drop(*DIGEST)
+    probe = index.select(*DIGEST, F.col("mask").bitwiseAND(asked).alias("mask")).where("mask <> 0")
+    met = matches(leaves, [key, "leaf"], text, "words", n, probe, distinct=False)
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "leaf").orderBy("pos"))
     runs = met.withColumn("island", island).groupBy(key, "leaf", "island").agg(F.count("*").alias("run"), F.min("pos").alias("start"), F.bit_or("mask").alias("mask"))
     best = runs.groupBy(key).agg(F.min(F.struct((-F.col("run")).alias("run"), "leaf", "start", "mask")).alias("b"))
     best = best.select(key, (-F.col("b.run")).alias("run"), "b.leaf", "b.start", "b.mask")
+    rows = leaves.select(key, "leaf", F.col(text).alias("text")).join(best, [key, "leaf"]).withColumn("t", T.normalize_tokens(F.col("text")))
     shown = F.substring(F.array_join(F.slice("t", F.col("start") + 1, (F.col("run") + n - 1).cast("int")), " "), 1, 200)
-    names = F.array_join(F.array_compact(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(s)) for i, s in enumerate(sets)))), ",")
-    return rows.join(best, [key, "leaf"]).select(key, "run", "leaf", "start", names.alias("eval_sets"), shown.alias("window"), (F.col("run") >= min_run).alias("removed"))
+    return rows.select(key, "run", "leaf", "start", F.array_join(set_names(F.col("mask"), sets), ",").alias("eval_sets"), shown.alias("window"), (F.col("run") >= min_run).alias("removed"))
 
 
-def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, form: Callable[[Column], Column], grams: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """(key, n_shared) of rows that share any gram with the protected texts; one hit is enough.
+def first_gram_hit(df: DataFrame, protected: DataFrame, key: str, cut: str, text: str = "text", n: int = N) -> DataFrame:
+    """(key, n_shared) of rows that share any gram with the protected texts; one hit is enough.
 
-    ``form`` prepares a text, ``grams`` cuts what it gives.
+    ``cut``: ``ascii`` words or ``letters`` without separators.
     """
-    index = protected.select(form(F.col(text)).alias("t")).select(F.explode_outer(grams(F.col("t"))).alias("gram")).where("gram is not null").select(*digest("gram")).distinct()
-    met = df.select(key, form(F.col(text)).alias("t")).select(key, F.explode_outer(F.array_distinct(grams(F.col("t")))).alias("gram")).where("gram is not null")
-    return met.select(key, *digest("gram")).join(small(index), list(DIGEST), "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    index = gram_rows(protected, [], text, cut, n).select(*DIGEST).distinct().withColumn("mask", F.lit(1))
+    return matches(df, [key], text, cut, n, index).groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
 def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float) -> DataFrame:

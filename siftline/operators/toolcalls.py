@@ -180,11 +180,10 @@ def rejection(df: DataFrame, patterns: tuple[str, ...] = tuple(LINK_REASON), dir
 def contaminated(seeds: DataFrame, key: str, names: DataFrame, grams: DataFrame, text: Column) -> DataFrame:
     """(key, reason): a tool of an evaluator's name (lower case), else one shared 8-gram."""
     from siftline.operators.decontam import first_gram_hit
-    from siftline.functions import text as T
 
     by_name = seeds.select(key, F.explode("tools.name").alias("name")).select(key, F.lower("name").alias("name")).join(names.select(F.lower("name").alias("name")).distinct(), "name", "left_semi").select(key).distinct()
     shown = seeds.select(key, text.alias("text"))
-    by_gram = first_gram_hit(shown, grams, key, T.ascii_tokens, lambda t: T.runs_of(t, 8)).select(key)
+    by_gram = first_gram_hit(shown, grams, key, "ascii").select(key)
     both = by_name.select(key, F.lit(0).alias("rank")).unionByName(by_gram.select(key, F.lit(1).alias("rank")))
     return both.groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.when(F.col("rank") == 0, "contamination_function_name").otherwise("contamination_8gram").alias("reason"))
 

@@ -61,13 +61,13 @@ def decontam_longest_run(spark, sf):
 def decontam_ascii8(spark, sf):
     """ASCII 8-grams, one hit suffices."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return D.first_gram_hit(docs, items, "doc_id", T.ascii_tokens, lambda t: T.runs_of(t, 8))
+    return D.first_gram_hit(docs, items, "doc_id", "ascii")
 
 
 def char8_overlap(spark, sf):
     """Character 8-grams of the letters alone, one hit suffices."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return D.first_gram_hit(docs, items, "doc_id", T.letters_only, lambda t: T.char_runs(t, 8))
+    return D.first_gram_hit(docs, items, "doc_id", "letters")
 
 
 def char3_neardup(spark, sf):

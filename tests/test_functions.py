@@ -70,3 +70,21 @@ def test_runs(spark):
     words = [[], ["a"], list("abc"), ["aa", "b", "ccc", "b", "dé"]]
     out = [list(r[0]) for r in spark.createDataFrame([(w,) for w in words], "w array<string>").select(T.runs_of(F.col("w"), 3)).collect()]
     assert out == [[" ".join(w[i : i + 3]) for i in range(len(w) - 2)] for w in words]
+
+
+def test_gram_digests(spark):
+    from siftline.functions import grams as G
+
+    texts = ["Straße a b c d e f g h", "漢字かな ab_c " * 4, "a b c", "", None, "a b c d e f g h " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for cut, n, pieces in (("words", 3, T.token_list), ("ascii", 2, G.ascii_words), ("letters", 4, lambda t: list(G.letters(t)))):
+        join = G.CUTS[cut][1]
+        want = {(i, join.join(p[j : j + n])) for i, t in enumerate(texts) if t for p in [pieces(t)] for j in range(len(p) - n + 1)}
+        rows = G.gram_rows(df, ["id"], "text", cut, n, shown=True).collect()
+        assert {(r.id, r.gram) for r in rows} == want and len(rows) == len(want)
+        digest = {}
+        assert all(digest.setdefault(r.gram, (r.g1, r.g2)) == (r.g1, r.g2) for r in rows) and len(set(digest.values())) == len(digest)
+        index = G.gram_rows(df.where("id in (0, 2)"), [], "text", cut, n).select("g1", "g2").distinct().selectExpr("g1", "g2", "5 AS mask")
+        found = [sorted((r.id, r.pos, r.g1, r["mask"]) for r in G.matches(df, ["id"], "text", cut, n, index, distinct=False, limit=limit).collect()) for limit in (1000, 0)]
+        assert found[0] == found[1] and {x[0] for x in found[0]} >= {0}
+    assert G.matches(df, ["id"], "text", "words", 3, index.where("false")).count() == 0

@@ -28,6 +28,6 @@ def test_near_pairs_and_gates(spark):
     assert {(x.a, x.b) for x in decontam.near_pairs(df, "id", T.collapsed(F.col("t")), 3, 0.92).collect()} == want
     alike = [(i, "same words here always", 0) for i in range(12)]
     got = gates.quota_gates(spark.createDataFrame(alike, "id int, t string, s int"), "id", "t", "s").collect()
-    assert {x.gates for x in got} == {"batch_prefix2,batch_prefix4,batch_style"}
+    assert {x.gates for x in got} == {"batch_prefix_2,batch_prefix_4,batch_style"}
     few = gates.quota_gates(spark.createDataFrame(alike[:5], "id int, t string, s int"), "id", "t", "s").collect()
-    assert {x.id: x.gates for x in few} == {0: "", 1: "near_copy", 2: "near_copy", 3: "near_copy", 4: "near_copy"}
+    assert {x.id: x.gates for x in few} == {0: "", 1: "skeleton_similarity", 2: "skeleton_similarity", 3: "skeleton_similarity", 4: "skeleton_similarity"}
