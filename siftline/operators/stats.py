@@ -114,9 +114,13 @@ POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))
 
 
 def poisson_weight(key: Column, rep: Column, seed: int) -> Column:
-    """A Poisson(1) draw from a hash of key, replicate and seed."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, rep), 11) / float(1 << 53)).cast("double")
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
+    """A Poisson(1) draw from the md5 of seed, key and replicate, which both engines have."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), rep.cast("string")))
+    u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    draw = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        draw = F.when(u < POISSON[k], k).otherwise(draw)
+    return draw.cast("double")
 
 
 def replicates(rows: DataFrame, key: str, num: str, den: str, b: int = 1000, seed: int = 0) -> DataFrame:

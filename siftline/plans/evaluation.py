@@ -112,13 +112,22 @@ def format_probe(spark, sf):
 def bootstrap_mean(spark, sf):
     """Cluster bootstrap of the mean reward over prompts."""
     r = _rollouts(spark, sf).withColumn("one", F.lit(1))
-    return S.poisson_bootstrap(r, "user_id", "reward", "one")
+    return _rounded(S.poisson_bootstrap(r, "user_id", "reward", "one"))
 
 
 def bootstrap_paired(spark, sf):
     """Paired bootstrap of the difference of two arms."""
     p = _pairs(spark, sf).select("doc_id", (F.col("b") - F.col("a")).alias("d"), F.lit(1).alias("one"))
-    return S.poisson_bootstrap(p, "doc_id", "d", "one")
+    return _rounded(S.poisson_bootstrap(p, "doc_id", "d", "one"))
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 6).alias(c) for c in df.columns))
+
+
+def mcnemar_exact(spark, sf):
+    """A6 for each language."""
+    return S.with_tests(paired_by_lang(spark, sf).select("lang", "n", "n10", "n01"), 0.05).select("lang", "n10", "n01", F.round("mcnemar_p", 7).alias("p"))
 
 
 def _top(spark, sf, k, tau=1.0):
@@ -245,5 +254,20 @@ ORACLES = {
     "topp_select": f"{TOPP} SELECT label, array_to_string(experts, ',') AS experts FROM x",
     "jaccard_overlap": f"{TOPP} SELECT a.label AS a, b.label AS b, round(len(list_intersect(a.experts, b.experts)) / len(list_distinct(list_concat(a.experts, b.experts))), 6) AS jaccard FROM x a JOIN x b ON a.label < b.label",
 }
-ROWS_ONLY = ("noninferiority", "bootstrap_mean", "bootstrap_paired")
+
+
+def _boot(keys: str) -> str:
+    """The bootstrap over a (key, num, den) subquery, with the same draws."""
+    draws = f"len(list_filter([{', '.join(f'{x!r}::DOUBLE' for x in S.POISSON)}], lambda x: x <= ('0x' || substr(md5('0:' || key || ':' || rep), 1, 12))::BIGINT / 281474976710656.0::DOUBLE))"
+    return f"""WITH {ROLL}, k AS ({keys}), w AS (SELECT rep, num, den, {draws} AS w FROM k, (SELECT unnest(range(0, 1000)) AS rep)), m AS (SELECT rep, sum(w * num) / sum(w * den) AS m FROM w GROUP BY rep)
+SELECT round((SELECT sum(num) / sum(den) FROM k), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+
+
+ORACLES |= {
+    "bootstrap_mean": _boot("SELECT user_id AS key, sum(reward) AS num, count(*) AS den FROM r GROUP BY user_id"),
+    "bootstrap_paired": _boot("SELECT doc_id AS key, ((1 - toxic) - quality)::DOUBLE AS num, 1 AS den FROM labels"),
+    "mcnemar_exact": """WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) AS n10, count(*) FILTER (quality <> 1 AND toxic <> 1) AS n01 FROM labels JOIN documents USING (doc_id) GROUP BY lang), i AS (SELECT *, n10 + n01 AS n, unnest(range(0, least(n10, n01) + 1)) AS i FROM c)
+SELECT lang, n10, n01, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END, 7) AS p FROM i GROUP BY lang, n10, n01, n""",
+}
+ROWS_ONLY = ("noninferiority",)
 QUERIES = {name: globals()[name] for name in (*ORACLES, *ROWS_ONLY)}

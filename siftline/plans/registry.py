@@ -6,7 +6,7 @@ from functools import wraps
 from importlib import import_module
 
 #: Modules of this package that hold ``QUERIES`` and ``ORACLES``.
-MODULES: list[str] = ["corpus", "evaluation", "texts", "choosing", "dialogue", "building", "recording", "arms", "files"]
+MODULES: list[str] = ["corpus", "evaluation", "texts", "choosing", "dialogue", "building", "recording", "arms", "files", "authoring"]
 
 
 def _merged(attribute: str) -> dict:
