@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import map_batches, narrow, slices
+from siftline.llm.common import bound_batches, map_batches, narrow, slices
 
 #: Distinct pieces kept, and the longest piece kept, so the memo has a bound.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
@@ -187,6 +187,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     A null text stays null and has no ids. Any text that Spark holds decodes to itself.
     Columns of the input with the new names are replaced.
     """
+    bound_batches(docs.sparkSession)
     names = [n for n in docs.columns if n not in ("ids", "n_tokens")]
     kept = docs.select(names)
     schema = kept.withColumns({"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")}).schema

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import map_batches, narrow, slices
+from siftline.llm.common import bound_batches, map_batches, narrow, slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANG, WINDOWS, EPOCHS, BATCH, RATE, SEED = 1500, 3, 6, 64, 0.02, 7
@@ -252,6 +252,7 @@ def keep_known(docs: DataFrame, model: bytes | None, min_score: float = 0.3, lan
     """
     if model is None:
         return docs
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

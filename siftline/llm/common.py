@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegralType, NullType, StructType
 
-#: Text bytes that one call of a batch function gets at most (a single longer text comes alone).
-BATCH_BYTES = 8_000_000
+#: Text bytes that one call of a batch function gets at most (a single longer text comes alone),
+#: and rows that Spark puts in one Arrow batch at most.
+BATCH_BYTES, BATCH_ROWS = 8_000_000, 2_000
 _OWN: dict[str, str] = {}
 
 
@@ -26,9 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named inputs under the operator's own names, so extra columns can't clash."""
+    bound_batches(df.sparkSession)
     return df.select(*(c.alias(k) if isinstance(c, Column) else df[c].alias(k) for k, c in columns.items()))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS: both ends of a pipe to Python hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def integer_key(df: DataFrame, key: str) -> Column:
     """The id column as bigint; ids that are no integers raise here and not in a task."""
     if not isinstance(df.schema[key].dataType, (IntegralType, NullType)):
