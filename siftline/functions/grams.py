@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from siftline.functions import text as T
 from siftline.operators.common import BROADCAST_ROWS
@@ -47,7 +47,7 @@ def letters(text: str) -> str:
 
 
 #: How a text is cut: its pieces, and what joins the pieces of a gram that is shown.
-CUTS: dict[str, tuple[Callable, str]] = {"words": (words, " "), "ascii": (ascii_words, " "), "letters": (letters, "")}
+CUTS: dict[str, tuple[Callable, str]] = {"words": (words, " "), "ascii": (ascii_words, " "), "letters": (letters, ""), "chars": (str, "")}
 
 
 def mixed(x: np.ndarray, factor: int) -> np.ndarray:
@@ -138,3 +138,22 @@ def matches(df: DataFrame, keys: list[str], text: str, cut: str, n: int, index:
     order = np.argsort(g1.view(np.uint64))
     shared = df.sparkSession.sparkContext.broadcast((g1.view(np.uint64)[order], g2.view(np.uint64)[order], mask[order]))
     return _scan(df, keys, text, cut, n, distinct, False, shared)
+
+
+def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, g): the distinct character n-grams of each text as 64-bit digests; a shorter text is one gram, an empty one none."""
+    rows = df.select(key, F.col(text).alias("text"))
+    schema = StructType([rows.schema[0], StructField("g", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter("chars", n)
+        for batch in batches:
+            sets = []
+            for t in batch.column(1).to_pylist():
+                g = np.unique(cutter.digests(t)[0]) if t and len(t) >= n else np.array([xxhash.xxh3_64_intdigest(t)] if t else [], np.uint64)
+                sets.append(g.view(np.int64))
+            bounds = np.concatenate(([0], np.cumsum([len(g) for g in sets]))).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, flat)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import jsons as J
 from siftline.functions import text as T
-from siftline.functions.grams import DIGEST, gram_rows, matches
+from siftline.functions.grams import DIGEST, gram_rows, gram_sets, matches
 
 N, MAX_DF, MIN_HITS, MIN_RUN = 8, 2, 2, 6
 
@@ -92,7 +92,7 @@ def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float)
     own = df.select(F.col(key).alias("id"), form.alias("form")).withColumn("class", F.sha2("form", 256))
     classes = own.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("form").alias("form"))
     members = own.select("id", "class").join(classes.select("class", "rep"), "class").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    rows = classes.select(F.col("rep").alias("id"), F.array_distinct(T.char_runs(F.col("form"), n, short_whole=True)).alias("g"))
+    rows = gram_sets(classes.select(F.col("rep").alias("id"), "form"), "id", "form", n)
     flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
     df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = flat.join(df_of, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))

@@ -90,6 +90,6 @@ ORACLES = {
     "tails_and_prefixes": f"WITH w AS ({WORDS}) SELECT a.item_id, array_to_string(a.w[-5:], ' ') AS tail, coalesce(list_position([a.w[i] = b.w[i] FOR i IN range(1, least(len(a.w), len(b.w)) + 1)], FALSE) - 1, least(len(a.w), len(b.w)))::BIGINT AS prefix FROM w a JOIN w b ON b.item_id = a.item_id + 1",
     "paired_shared": "SELECT quality::BIGINT AS a, (length(text) > 1000)::BIGINT AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL",
     "scored_subset": "SELECT doc_id, quality, length(text) AS chars FROM labels JOIN documents USING (doc_id)",
-    "dataset_identity": "SELECT lang, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS identity FROM (SELECT lang, sha256(text) AS k FROM documents) GROUP BY lang",
+    "dataset_identity": "WITH k AS (SELECT lang, sha256(text) AS k FROM documents), b AS (SELECT lang, substr(sha256(k), 1, 4) AS bucket, count(*) AS n, sha256(coalesce(string_agg(k, chr(10) ORDER BY k), '')) AS d FROM k GROUP BY ALL) SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(bucket || d, chr(10) ORDER BY bucket)) AS identity FROM b WHERE bucket IS NOT NULL GROUP BY lang",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
