@@ -48,49 +48,11 @@ def normalize_tokens(text: Column) -> Column:
     return F.when(other, _tokens_udf(F.when(other, text))).otherwise(plain)
 
 
-def runs_of(tokens: Column, n: int) -> Column:
-    """P5: all n-grams joined by a space, in order; fewer tokens give none.
-
-    One look-ahead expression over the joined tokens: a lambda over positions would be
-    interpreted for each gram, some fifty times slower.
-    """
-    run = rf"(?:^|(?<= ))(?=((?:[^ ]++ ){{{n - 1}}}[^ ]++))"
-    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(run), 1)
-
-
 def ascii_tokens(text: Column) -> Column:
     """Y2: lower case, underscore is a space, runs of [a-z0-9]."""
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), F.lit("[a-z0-9]+"), 0)
 
 
-@F.pandas_udf(StringType())
-def _letters_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
-
-
-def letters_only(text: Column) -> Column:
-    """NFKC, casefold, alphanumeric characters without separators."""
-    other = text.rlike(BEYOND_LATIN)
-    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
-    return F.when(other, _letters_udf(F.when(other, text))).otherwise(plain)
-
-
-ASTRAL = r"[\x{10000}-\x{10FFFF}]"
-
-
-def char_runs(text: Column, n: int, short_whole: bool = False) -> Column:
-    """All substrings of n characters in order; a shorter text gives none, or itself.
-
-    ``text`` must be a column that exists. Texts with characters beyond the basic plane are
-    cut from a character array, since the expression steps by UTF-16 units.
-    """
-    every = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1)
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
-    slow = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
-    less = F.when(F.length(text) > 0, F.array(text)) if short_whole else F.lit(None)
-    return F.when(F.length(text) < n, F.coalesce(less, F.array().cast("array<string>"))).when(text.rlike(ASTRAL), slow).otherwise(every)
-
-
 def collapsed(text: Column) -> Column:
     """Lower case with white space collapsed and stripped, as P9 wants it."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

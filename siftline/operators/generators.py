@@ -1,4 +1,4 @@
-"""Seed generators and reversible renames (G1-G18, Y36, Y37): every value from a hash of id and name."""
+"""Hash-drawn seed rows and reversible renames of a column (G2, G8, G12, G13): every value from a hash of id and name."""
 
 from __future__ import annotations
 
@@ -21,11 +21,6 @@ def picked(options: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (index + 1).cast("int"))
 
 
-def typed_value(kind: Column, index: Column) -> Column:
-    """A literal of each type from an index."""
-    return F.when(kind == "string", F.concat(F.lit("value-"), index)).when(kind == "integer", (index * 3 + 1).cast("string")).when(kind == "number", (index / 4).cast("string")).otherwise(F.when(index % 2 == 0, "true").otherwise("false"))
-
-
 def seeds(spark: SparkSession, n: int, seed: str = "g") -> DataFrame:
     """One row a seed: pattern by id, schema, domain, tool name, 2-4 typed properties."""
     i = F.col("id")

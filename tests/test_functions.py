@@ -59,19 +59,6 @@ def test_quotas():
     assert selection.largest_remainder(10, {"T1": 0.0, "T2": 0.45, "T3": 0.3, "T4": 0.25}) == {"T1": 0, "T2": 5, "T3": 3, "T4": 2}
 
 
-def test_runs(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["", "ab", "abc", "abcd\ne", "é🙂xyz🙂", "aaaa"]
-    got = {r.t: (list(r.a), list(r.b)) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.char_runs(F.col("t"), 3).alias("a"), T.char_runs(F.col("t"), 3, short_whole=True).alias("b")).collect()}
-    for t in texts:
-        every = [t[i : i + 3] for i in range(len(t) - 2)]
-        assert got[t] == (every, every or [t] * bool(t))
-    words = [[], ["a"], list("abc"), ["aa", "b", "ccc", "b", "dé"]]
-    out = [list(r[0]) for r in spark.createDataFrame([(w,) for w in words], "w array<string>").select(T.runs_of(F.col("w"), 3)).collect()]
-    assert out == [[" ".join(w[i : i + 3]) for i in range(len(w) - 2)] for w in words]
-
-
 def test_gram_digests(spark):
     from siftline.functions import grams as G
 
