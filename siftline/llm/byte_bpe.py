@@ -83,6 +83,7 @@ class ByteBPE:
         for i in range(size):
             if (token := self.model.id_to_token(i)) is not None:
                 self.tokens[i] = bytes(self.unchars[c] for c in token)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.split, self.pattern = regex.compile(pattern).findall, pattern
         self.memo: dict[str, bytes] = {}
         self.assigned: set[str] = set()
@@ -123,13 +124,19 @@ class ByteBPE:
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """End of each token in the text's UTF-8 bytes."""
-        return np.cumsum([len(self.tokens[i]) for i in np.frombuffer(ids, "<u4")], dtype=np.int64)
+        return np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the tokens, joined before any character is read."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def inside_characters(ends: np.ndarray, raw: bytes) -> int:
+    """How many tokens end inside a character, whose next byte is a continuation."""
+    data = np.frombuffer(raw, np.uint8)
+    return int(((data[ends[ends < len(data)]] & 0xC0) == 0x80).sum())
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", offsets: bool = True) -> DataFrame:
     """(key, ids array<int>[, ends array<bigint>]): tokens and their end offsets in UTF-8 bytes."""
 
@@ -160,7 +167,8 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", key
 
 
 def roundtrip_digest(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text, decoded from its ids."""
+    """(key, n_tokens, ids_sha256, decoded_sha256, n_split) of every whole text, decoded from its ids;
+    n_split counts the tokens that end inside a character, by their offsets."""
 
     def make():
         bpe = ByteBPE(path, pattern)
@@ -172,12 +180,13 @@ def roundtrip_digest(docs: DataFrame, path: str, pattern: str, text: str = "text
                 "n_tokens": [len(r) // 4 for r in raw],
                 "ids_sha256": [hashlib.sha256(r).hexdigest() for r in raw],
                 "decoded_sha256": [hashlib.sha256(bpe.decode(r)).hexdigest() for r in raw],
+                "n_split": [inside_characters(bpe.offsets(r), (t or "").encode()) for r, t in zip(raw, text)],
             }
 
         return f
 
     rows = narrow(docs, key=key, text=text)
-    schema = f"key {dict(rows.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"key {dict(rows.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint"
     return map_batches(rows, make, schema).withColumnRenamed("key", key)
 
 
