@@ -143,10 +143,11 @@ def dedup_first(spark, sf):
 
 
 def prefix_theta_join(spark, sf):
-    """Pages whose path starts with another page's path on the same host."""
+    """Pages, and the folders they lie in, whose path starts with another one's path on the same host."""
     url = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_extract("url", "^[^:]*://[^/?#]*([^?#]*)", 1), "(/|\\.html)$", "")
     p = table(spark, sf, "pages").select("page_id", url.alias("host"), path.alias("path"))
+    p = p.unionByName(p.select((-F.col("page_id") - 1).alias("page_id"), "host", F.regexp_replace("path", "[^/]*$", "").alias("path")))
     heads = p.select(F.col("page_id").alias("parent_id"), F.col("host").alias("h"), F.col("path").alias("parent_path"))
     # a path is cut at the lengths that paths of its host have, so a cut is an equi-join key; no pair of a host is compared twice
     lengths = p.where("path <> ''").select(F.col("host").alias("h"), F.length("path").alias("n")).distinct().groupBy("h").agg(F.collect_list("n").alias("ns"))
@@ -193,7 +194,7 @@ SELECT a, b, round(n / (m - n), 6) AS jaccard FROM p WHERE n / (m - n) >= 0.92 U
     "drop_reason_cascade": CASCADE,
     "reconciliation": f"SELECT sum(n) AS n_read, sum(n) FILTER (reason = 'kept') AS n_kept, coalesce(sum(n) FILTER (reason <> 'kept'), 0) AS n_dropped FROM ({CASCADE})",
     "dedup_first": "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY md5(text)",
-    "prefix_theta_join": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '(/|\.html)$', '') AS path FROM pages)
+    "prefix_theta_join": r"""WITH o AS (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '(/|\.html)$', '') AS path FROM pages), p AS (SELECT * FROM o UNION ALL SELECT -page_id - 1, host, regexp_replace(path, '[^/]*$', '') FROM o)
 SELECT a.host, count(*) AS n_pairs, count(DISTINCT a.page_id) AS n_children FROM p a JOIN p b ON a.host = b.host AND starts_with(a.path, b.path) AND length(b.path) < length(a.path) AND length(b.path) >= 1 GROUP BY a.host""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
