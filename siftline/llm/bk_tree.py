@@ -35,7 +35,7 @@ from siftline.llm.common import components, integer_key, map_batches, materializ
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Pairs of a query and a tree node that a search holds at once.
-PAIRS = 4_000_000
+PAIRS = 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
