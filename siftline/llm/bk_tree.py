@@ -213,6 +213,8 @@ BANDS, SKETCH, PRUNE = 20, 64, 0.45
 #: Members of a candidate group that one task compares with the group's first member, and those of
 #: a block where groups that stay apart are compared.
 STAR, BLOCK = 512, 1024
+#: Members of a shard that one task links; of larger ones the first member's star is linked, then what is left.
+SHARD = 20_000
 
 _SEEDS = np.random.default_rng(11)
 _MULT = _SEEDS.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -285,6 +287,24 @@ def sketch_links(shards: DataFrame) -> DataFrame:
     return by_shard(shards, ["sketch"], solve)
 
 
+def candidate_links(shards: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) from (shard, id) and (id, sketch): :func:`sketch_links`, with no shard of more than SHARD members in a task.
+
+    Copies of one text that a third of all rows hold share their keys. Such a shard's members
+    meet its first member, some in a task; those that star leaves apart then meet all members.
+    """
+    size = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("b"))
+    large = materialize(size.where(F.col("n") > SHARD).select("shard", "b"))
+    if large.isEmpty():
+        return sketch_links(shards.join(sketches, "id"))
+    few = sketch_links(shards.join(large, "shard", "left_anti").join(sketches, "id"))
+    many = materialize(shards.join(large, "shard").select("shard", "id", "b"))
+    to_parts = lambda parts: parts.select(F.col("part").alias("shard"), "id").join(sketches, "id")
+    links = materialize(sketch_links(to_parts(stars(many.where("id <> b").select(F.col("id").alias("a"), "b").distinct()))).distinct())
+    left = cross_parts(many.select(F.col("id").alias("node"), F.col("shard").alias("component")).distinct(), components(links))
+    return few.unionByName(links).unionByName(sketch_links(to_parts(left)))
+
+
 def similar_links(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b) from (part, id, sketch, hashes): links verified on whole shingle sets, inside each part.
 
@@ -373,7 +393,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     reps = sig.groupBy("words").agg(F.min(F.struct("key", "lows", "sketch")).alias("r"))
     reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.lows", "r.sketch"))
     pairs = [F.xxhash64(F.lit(i), F.col("lows")[2 * i], F.col("lows")[2 * i + 1]) for i in range(BANDS)]
-    links = materialize(sketch_links(reps.select(F.explode(F.array(*pairs)).alias("shard"), "id", "sketch")).distinct())
+    shards = materialize(reps.select(F.explode(F.array(*pairs)).alias("shard"), "id"))
+    links = materialize(candidate_links(shards, reps.select("id", "sketch")).distinct())
     near = components(links)
     near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
 
@@ -388,7 +409,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     if not more.isEmpty():
         found = similar_links(more.join(sets, "id"), similarity)
         groups = components(found.unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    for done in (links, near, sets, more):
+    for done in (shards, links, near, sets, more):
         release(docs.sparkSession, done)
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("component", "id").alias("group"))
     return sig.select("key", "words").join(named, "words").select("key", "group")

@@ -148,6 +148,7 @@ def test_simhash_components(spark):
 def test_near_groups_equal_brute_force(spark, monkeypatch, block, prune):
     monkeypatch.setattr(bk_tree, "BLOCK", block)
     monkeypatch.setattr(bk_tree, "STAR", block)
+    monkeypatch.setattr(bk_tree, "SHARD", 20_000 if block > 3 else 2)
     monkeypatch.setattr(bk_tree, "PRUNE", prune)
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
