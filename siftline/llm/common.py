@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +64,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+@lru_cache(1)
+def _c_library():
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        return lib if hasattr(lib, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to its machine, where the C library can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if lib := _c_library():
+        lib.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text_index: int | None) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most BATCH_BYTES of the text column."""
+    """The batch in pieces of at most BATCH_BYTES of the text column; memory is given back after the last one."""
     if text_index is None or batch.num_rows < 2 or batch.nbytes <= BATCH_BYTES:
         yield batch
+        give_back()
         return
     start, size = 0, 0
     for i, s in enumerate(pc.binary_length(batch.column(text_index)).to_pylist()):
@@ -74,6 +93,7 @@ def slices(batch: pa.RecordBatch, text_index: int | None) -> Iterator[pa.RecordB
             start, size = i, 0
         size += s or 0
     yield batch.slice(start)
+    give_back()
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[..., dict | list]], schema: str, text: str | None = "text") -> DataFrame:
@@ -95,6 +115,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., dict | list]], s
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[field.name], type=field.type, from_pandas=False) for field in arrow], schema=arrow
                 )
+                del out
 
     return df.mapInArrow(run, kind)
 
