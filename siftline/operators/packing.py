@@ -5,28 +5,24 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.operators.common import in_range, with_offsets
+
 
 def running_start(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Adds ``start``: the sum of ``size`` over all rows of smaller key. Range partitions are
-    summed, their totals offset on the driver (one number each), then each sums locally."""
-    spark = df.sparkSession
-    part = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    total, starts = 0, []
-    for r in part.groupBy("__p").agg(F.sum(size).alias("n")).orderBy("__p").collect():
-        starts.append((r["__p"], total))
-        total += r["n"] or 0
-    offsets = spark.createDataFrame(starts or [(0, 0)], "__p int, __o bigint")
-    local = F.sum(size).over(Window.partitionBy("__p").orderBy(key)) - F.col(size)
-    return part.withColumn("__l", local).join(F.broadcast(offsets), "__p").withColumn("start", F.col("__o") + F.col("__l")).drop("__p", "__l", "__o")
+    """Adds ``start``: the sum of ``size`` over all rows up to the key, itself left out; nulls last.
+    Ranges of keys are summed, their totals offset on the driver (one number each), then each sums locally."""
+    local = F.sum(size).over(in_range(key)) - F.col(size)
+    return with_offsets(df, key, F.col(size)).withColumn("start", F.col("__o") + local).drop("__p", "__o")
 
 
 def stream_blocks(df: DataFrame, key: str, size: str, length: int) -> DataFrame:
     """(block, n_pieces, first_key): examples end to end, cut every ``length`` tokens; the rest is dropped."""
-    placed = running_start(df.select(key, F.col(size).alias("size")), key, "size").where("size > 0")
-    total = placed.agg(F.max(F.col("start") + F.col("size"))).first()[0] or 0
+    rows = df.select(key, F.col(size).alias("size"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    placed = running_start(rows, key, "size").where("size > 0")
     spans = F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length))
     pieces = placed.select(key, F.explode(spans).alias("block")).where(F.col("block") < total // length)
     return pieces.groupBy("block").agg(F.count("*").alias("n_pieces"), F.min(key).alias("first_key"))

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators.common import hash_order
+from siftline.operators.common import hash_order, in_range, with_offsets
 
 
 def even_quotas(n: int, strata: list[str]) -> dict[str, int]:
@@ -73,20 +73,12 @@ def first_valid(df: DataFrame, seed: str, index: str, reason: Column) -> DataFra
 
 
 def positions(df: DataFrame, key: str) -> DataFrame:
-    """Global 0-based positions in key order without one big window: range partitions, counted, then offset.
+    """Global 0-based positions in key order, nulls last, without one big window: ranges of keys, counted, then offset.
 
-    The key must be unique, so partitions and positions are the same whenever it is read.
+    The key must be unique, else rows of one key share their positions in any order.
     """
-    spark = df.sparkSession
-    part = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    counts = part.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # one row a partition
-    total, starts = 0, []
-    for r in counts:
-        starts.append((r["__p"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(starts or [(0, 0)], "__p int, __start bigint")
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    return part.withColumn("__i", local).join(F.broadcast(offsets), "__p").withColumn("position", F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")
+    placed = with_offsets(df, key, F.lit(1))
+    return placed.withColumn("position", F.col("__o") + F.row_number().over(in_range(key)) - 1).drop("__p", "__o")
 
 
 def batches(df: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:
