@@ -97,13 +97,14 @@ def weighted_style(spark, sf):
 
 
 def replay_mix(spark, sf):
-    """round(r / (1 - r) * n) replayed rows, drawn with replacement by hashing their number."""
+    """round(r / (1 - r) * n) replayed rows, halves up, drawn with replacement by hashing their number."""
     docs = _docs(spark, sf).select("doc_id")
     n = docs.count()
-    k = round(0.2 / 0.8 * n)
+    k = (n + 2) // 4  # r = 0.2
     draw = spark.range(k).select("id", F.pmod(F.conv(F.substring(hash_order("s5", F.col("id")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("position"))
-    replay = draw.join(S.positions(docs, "doc_id"), "position").select("doc_id", F.lit("replay").alias("origin"))
-    return docs.select("doc_id", F.lit("new").alias("origin")).unionByName(replay).groupBy("origin").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    replay = draw.join(S.positions(docs, "doc_id"), "position")
+    count = lambda rows, origin: rows.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(origin).alias("origin"), "n", "ids")
+    return count(docs, "new").unionByName(count(replay, "replay"))
 
 
 def freshness(spark, sf):

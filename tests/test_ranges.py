@@ -34,3 +34,11 @@ def test_stream_blocks_of_many_partitions(uncoalesced, tmp_path):
     duck(tmp_path).execute(f"COPY (SELECT * FROM '{tmp_path}/d/*.parquet') TO '{tmp_path}/documents.parquet'")
     got = spark_rows(registry.queries()["stream_blocks"](uncoalesced, str(tmp_path)))
     assert got == duck_rows(duck(tmp_path), registry.oracle_sql()["stream_blocks"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 60_002])
+def test_replay_mix_rounds_as_its_sql(uncoalesced, tmp_path, n):
+    con = duck(tmp_path)
+    con.execute(f"COPY (SELECT CASE WHEN i = 3 THEN NULL ELSE i * 3 END::BIGINT AS doc_id, 'en' AS lang, 's' AS source FROM range({n}) t(i)) TO '{tmp_path}/documents.parquet' (ROW_GROUP_SIZE 10000)")
+    got = spark_rows(registry.queries()["replay_mix"](uncoalesced, str(tmp_path)))
+    assert got == duck_rows(duck(tmp_path), registry.oracle_sql()["replay_mix"])
