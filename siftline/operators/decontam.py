@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import jsons as J
 from siftline.functions import text as T
-from siftline.functions.grams import DIGEST, gram_rows, gram_sets, matches
+from siftline.functions.grams import DIGEST, gram_rows, jaccard, matches, part_pairs, part_rows
+from siftline.session import scratch
 
 N, MAX_DF, MIN_HITS, MIN_RUN = 8, 2, 2, 6
 
@@ -85,24 +86,22 @@ def near_pairs(df: DataFrame, key: str, form: Column, n: int, threshold: float)
     """(a, b, jaccard) with a < b: an exact set-similarity self-join of character n-grams.
 
     Texts of one form are one class: its smallest key stands for it in the join, and every
-    other member is paired with that key alone, so copies never meet each other. Grams are
-    ordered rarest first over all classes; two sets of Jaccard t share one of their first
-    m - ceil(t * m) + 1 grams, so only classes that share a rare prefix gram meet.
+    other member is paired with that key alone, so copies never meet each other. Classes
+    meet under the keys of :func:`siftline.functions.grams.part_keys`, of which two sets of
+    the threshold's similarity share one; their texts are fetched and compared then. No gram
+    is ever a row, so a common one has no price. Rows without a key are left out.
     """
-    own = df.select(F.col(key).alias("id"), form.alias("form")).withColumn("class", F.sha2("form", 256))
-    classes = own.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("form").alias("form"))
+    spark = df.sparkSession
+    own = df.select(F.col(key).alias("id"), form.alias("form")).where("id is not null and form is not null")
+    own = own.withColumn("class", F.substring(F.unhex(F.sha2("form", 256)), 1, 16))
+    first = own.groupBy("class").agg(F.min(F.struct("id", "form")).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.form").alias("form"))
+    first, path = first.withColumn("num", F.monotonically_increasing_id()), scratch(spark)
+    first.write.parquet(path)
+    classes = spark.read.schema(first.schema).parquet(path)
     members = own.select("id", "class").join(classes.select("class", "rep"), "class").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    rows = gram_sets(classes.select(F.col("rep").alias("id"), "form"), "id", "form", n)
-    flat = rows.select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram")).where("gram is not null")
-    df_of = flat.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = flat.join(df_of, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    prefix = F.slice("o", 1, (F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).cast("int"))
-    heads = ranked.select("id", "n", F.explode_outer(prefix).alias("p")).select("id", "n", "p.gram")
-    a, b = heads.alias("a"), heads.alias("b")
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(rows.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    jaccard = shared / (F.size("ga") + F.size("gb") - shared)
-    near = full.select("a", "b", F.round(jaccard, 6).alias("jaccard"), jaccard.alias("j")).where(F.col("j") >= threshold).drop("j")
+    met = part_pairs(part_rows(classes, "num", "form", n, threshold), "num", threshold)
+    side = lambda place, c: classes.select(F.col("num").alias(place), F.col("rep").alias(c), F.col("form").alias(f"form_{c}"))
+    full = met.join(side("x", "a"), "x").join(side("y", "b"), "y")
+    near = jaccard(full, ["a", "b"], "form_a", "form_b", n).where(F.col("jaccard") >= threshold)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 6).alias("jaccard"))
     return near.unionByName(members)
