@@ -287,3 +287,22 @@ def test_scores_equal_a_dense_matrix(spark):
         w = m / np.maximum(m.sum(1, keepdims=True), 1)
         want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * w.T, 0.15 * np.array([s.get(h, 0.0) for h in hosts]))
         assert [got.get(h, (0, 0))[k] for h in hosts] == pytest.approx(want.tolist(), rel=5e-3, abs=1e-12)
+
+
+def test_texts_are_dealt_once_and_spans_carry_no_hash(spark, tmp_path):
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdef ") for _ in range(300))
+    rows = [(i, "".join(r.choice("ghijkl ") for _ in range(200)) + shared[r.randint(0, 80) : 220 + r.randint(0, 80)]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    found = suffix_dedup.settle(suffix_dedup.anchors(docs.select("doc_id", "text"), 100, 24), 100)
+    assert found.where(f"ctx <> 0 or kind = {suffix_dedup.KIND_SPAN} and h <> 0").count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup.remove_repeats(docs)
+        got = {x.doc_id: bytes(x.kept) for x in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
+    assert {k: v[3] for k, v in brute_repeats(rows).items()} == {k: hashlib.sha256(v).hexdigest() for k, v in got.items()}
