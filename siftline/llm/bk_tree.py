@@ -230,14 +230,16 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """(key, words, lows, sketch): a hash of the words, and minima of the distinct shingles."""
+    """(key, words, fp, lows, sketch): a hash of the words; fingerprint and minima of the distinct shingles."""
 
     def make():
         def f(key, text):
-            out: dict[str, list] = {"key": key, "words": [], "lows": [], "sketch": []}
+            out: dict[str, list] = {"key": key, "words": [], "fp": [], "lows": [], "sketch": []}
             for t in text:
                 w = words_of(t)
-                m = minima(shingle_hashes(w, width))
+                hashes = np.unique(shingle_hashes(w, width))
+                m = minima(hashes)
+                out["fp"].append(simhash(hashes))
                 out["words"].append(xxhash.xxh3_128_digest(b" ".join(w)))
                 out["lows"].append(m[: 2 * BANDS].view(np.int64))
                 out["sketch"].append((m >> np.uint64(32)).astype(np.uint8).tobytes())
@@ -246,7 +248,7 @@ def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
         return f
 
     rows = narrow(docs, key=key, text=text)
-    return map_batches(rows, make, "key bigint, words binary, lows array<bigint>, sketch binary")
+    return map_batches(rows, make, "key bigint, words binary, fp bigint, lows array<bigint>, sketch binary")
 
 
 def alike(sketches: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
@@ -378,11 +380,14 @@ def cross_parts(near: DataFrame, sure: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, group): texts linked by a Jaccard similarity of their shingle sets, group = smallest key.
 
-    Texts of the same words are one candidate. Candidates are dealt to shards by ``BANDS``
+    Texts of the same words are one candidate. Candidates whose SimHash fingerprints, of their
+    distinct shingles, are within two bits are linked by the BK-trees of :func:`link`. Texts of
+    similarity 0.8 differ in about ten bits and often more, too many for any key of a tree to
+    hold them all, so the rest needs another way: candidates are also dealt to shards by ``BANDS``
     disjoint pairs of min-hash values (two texts of similarity 0.8 share none with
     probability 1.3e-9, of 0.9 with 4e-15) and linked there if their sketches are alike, as a
-    forest of stars. Both are of shingle sets, as the similarity is, so lines that repeat
-    don't matter. Whole shingle sets then verify the stars' links, a bounded part of a star
+    forest of stars. All are of shingle sets, as the similarity is, so lines that repeat
+    don't matter. Whole shingle sets then verify the links of trees and stars, a bounded part of a star
     in a task. Where that leaves a candidate group in pieces, all members outside the
     largest piece are compared with all members, block by block.
 
@@ -390,11 +395,12 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     """
     rows = narrow(docs, id=integer_key(docs, key), text=text)
     sig = materialize(signatures(rows, width, "text", "id").where("key is not null"))
-    reps = sig.groupBy("words").agg(F.min(F.struct("key", "lows", "sketch")).alias("r"))
-    reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.lows", "r.sketch"))
+    reps = sig.groupBy("words").agg(F.min(F.struct("key", "fp", "lows", "sketch")).alias("r"))
+    reps = materialize(reps.select("words", F.col("r.key").alias("id"), "r.fp", "r.lows", "r.sketch"))
     pairs = [F.xxhash64(F.lit(i), F.col("lows")[2 * i], F.col("lows")[2 * i + 1]) for i in range(BANDS)]
     shards = materialize(reps.select(F.explode(F.array(*pairs)).alias("shard"), "id"))
-    links = materialize(candidate_links(shards, reps.select("id", "sketch")).distinct())
+    trees = link(reps.select(F.col("id").alias("key"), "fp")).where("key <> component_id").select(F.col("key").alias("a"), F.col("component_id").alias("b"))
+    links = materialize(trees.unionByName(candidate_links(shards, reps.select("id", "sketch"))).distinct())
     near = components(links)
     near = materialize(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
 

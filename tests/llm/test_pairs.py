@@ -306,3 +306,19 @@ def test_texts_are_dealt_once_and_spans_carry_no_hash(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ReusedExchange" in plan
     assert {k: v[3] for k, v in brute_repeats(rows).items()} == {k: hashlib.sha256(v).hexdigest() for k, v in got.items()}
+
+
+def test_near_groups_come_through_bk_trees(spark, monkeypatch):
+    """Copies of long texts with one word changed differ in few fingerprint bits: the trees alone find them."""
+    r = random.Random(8)
+    rows, trees = [], set()
+    for i in range(12):
+        w = [f"w{r.randint(0, 50000)}" for _ in range(3000)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:1500], "other", *w[1501:]]))]
+        a, b = (bk_tree.simhash(np.unique(bk_tree.shingle_hashes(bk_tree.words_of(t), 5))) for _, t in rows[-2:])
+        if int(bk_tree.distance(np.int64([a]), np.int64([b]))[0]) <= 2:
+            trees.add(i)
+    monkeypatch.setattr(bk_tree, "candidate_links", lambda shards, sketches: spark.createDataFrame([], "a long, b long"))
+    got = {x.key: x.group for x in bk_tree.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(trees) >= 6
+    assert got == {k: k - k % 2 if k // 2 in trees else k for k, _ in rows}
