@@ -31,3 +31,12 @@ def test_near_pairs_and_gates(spark):
     assert {x.gates for x in got} == {"batch_prefix_2,batch_prefix_4,batch_style"}
     few = gates.quota_gates(spark.createDataFrame(alike[:5], "id int, t string, s int"), "id", "t", "s").collect()
     assert {x.id: x.gates for x in few} == {0: "", 1: "skeleton_similarity", 2: "skeleton_similarity", 3: "skeleton_similarity", 4: "skeleton_similarity"}
+
+
+def test_gates_move_no_text_for_group_shares(spark):
+    """Groups over their share are few and stand in the plan: rows with their texts aren't joined with group sizes."""
+    rows = [(i, f"{'same words' if i % 2 else f'w{i} v{i}'} then {i}", i % 4) for i in range(40)]
+    got = gates.quota_gates(spark.createDataFrame(rows, "id int, t string, s int"), "id", "t", "s")
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert not [line for line in plan.splitlines() if "Join " in line and "<=>" in line]
+    assert {x.id for x in got.collect() if "batch_prefix_2" in x.gates} == {i for i in range(40) if i % 2}
